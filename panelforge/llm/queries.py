@@ -7,11 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.license_scan import scan_licenses
 from panelforge.llm.quality import QUALITY_SQL, quality_verdicts
+from panelforge.llm.sentencepiece_dropout import sp_decode, sp_encode
 from panelforge.llm.shared import materialize, table
 from panelforge.llm.sharding import range_shards
 
 
+def model_path(name: str) -> str:
+    """A vocabulary file of the machine's public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents encoded with merge-dropout and decoded again: ids, their checksum, and whether the text came back."""
+    model = model_path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = sp_decode(sp_encode(docs, model, dropout=0.1, seed=1), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their license phrases and the license templates that their blocks contain."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in 8 shards of nearly equal bytes; equal texts stand side by side."""
     text = F.coalesce("text", F.lit(""))
@@ -32,6 +54,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
+    "op2_license_scan": op2_license_scan,
     "op5_range_shards": op5_range_shards,
     "op7_quality_rules": op7_quality_rules,
 }
