@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +22,7 @@ _MARK = "▁"
 VARIANTS = 8
 #: Segmentations kept for each variant.
 CACHE = 50_000
-_MASK = 0xFFFFFFFF
+_NO_PIECE = 1 << 24
 _ODD = 0x9E3779B1, 0x85EBCA6B
 
 
@@ -110,10 +109,19 @@ class Encoder:
                     heapq.heappush(agenda, (r, k, i, length + len(symbols[k])))
         return [s for s in symbols if s]
 
+    def _key(self, codes: np.ndarray, variants: np.ndarray) -> np.ndarray:
+        """The dropout key of segments of one length, a row of code points each, and their variants."""
+        with np.errstate(over="ignore"):
+            key = mix(variants.astype(np.uint64) + np.uint64(self.seed * 1_000_003 % 2**63))
+            for k in range(codes.shape[1]):
+                key = (key ^ codes[:, k].astype(np.uint64)) * np.uint64(0x100000001B3)
+            return mix(key)
+
     def _segment(self, segment: str, variant: int) -> bytes:
         # a literal mark gets a second character, so that it is in no piece
         symbols = [_MARK if c == " " else "\x00▁" if c == _MARK else c for c in segment]
-        key = zlib.crc32(segment.encode(), (self.seed * self.variants + variant) & _MASK)
+        codes = np.frombuffer(segment.encode("utf-32-le"), "<u4").reshape(1, -1)
+        key = int(self._key(codes, np.array([variant]))[0]) if self.skip is not None else 0
         out: list[int] = []
         for s in self._merge(symbols, key):
             i = self.ids.get(s)
@@ -123,29 +131,147 @@ class Encoder:
                 out.append(i)
         return array("i", out).tobytes()
 
+    def _tables(self) -> None:
+        """Arrays for merging many segments at once: ids of characters, and an open-addressed hash of pairs."""
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char_ids[ord(" " if p == _MARK else p)] = i
+        pairs = [
+            (self.ids[a] << 32 | self.ids[b], self.rank[p], self.ids[p])
+            for p in self.ids for k in range(1, len(p)) if (a := p[:k]) in self.ids and (b := p[k:]) in self.ids
+        ]
+        self.bits = max(4, (len(pairs) * 4).bit_length())
+        self.pair_keys = np.full(1 << self.bits, -1, np.int64)
+        self.pair_ranks = np.full(1 << self.bits, self.none, np.int32)
+        self.pair_ids = np.full(1 << self.bits, -1, np.int32)
+        keys = np.array([x[0] for x in pairs], np.int64)
+        self.probes = 0
+        for key, at, (_, r, i) in zip(keys.tolist(), self._slot(keys).tolist(), pairs):
+            steps = 1
+            while self.pair_keys[at] >= 0:
+                at, steps = (at + 1) & ((1 << self.bits) - 1), steps + 1
+            self.pair_keys[at], self.pair_ranks[at], self.pair_ids[at] = key, r, i
+            self.probes = max(self.probes, steps)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of each pair of ids; the rank `none` if it merges into nothing."""
+        keys = a.astype(np.int64) << 32 | b
+        at = self._slot(keys)
+        ranks, ids = np.full(len(keys), self.none, np.int32), np.full(len(keys), -1, np.int32)
+        left = np.arange(len(keys))
+        for _ in range(self.probes):
+            found = self.pair_keys[at]
+            hit = found == keys
+            ranks[left[hit]], ids[left[hit]] = self.pair_ranks[at[hit]], self.pair_ids[at[hit]]
+            go = ~hit & (found >= 0)
+            if not go.any():
+                break
+            left, keys, at = left[go], keys[go], (at[go] + 1) & ((1 << self.bits) - 1)
+        return ranks, ids
+
+    def _many(self, segments: list[str], variants: list[int]) -> list[bytes]:
+        """Segmentations of segments of one length: the agendas of all run side by side, a step of each at a time."""
+        n, size = len(segments), len(segments[0])
+        codes = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(n, size)
+        ids = self.char_ids[codes]
+        odd = ids < 0
+        ids[odd] = codes[odd].astype(np.int32) + _NO_PIECE  # a character without a piece is in no pair
+        keys = self._key(codes, np.array(variants))
+        skip = None if self.skip is None else np.array(self.skip)
+
+        def candidates(row: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+            r, m = self._pairs(ids[row, i], ids[row, j])
+            if skip is not None:
+                with np.errstate(over="ignore"):
+                    h = keys[row] + r.astype(np.uint64) * np.uint64(_ODD[0]) + i.astype(np.uint64) * np.uint64(_ODD[1])
+                r[skip[(h >> np.uint64(8)) & np.uint64(0xFFFF)]] = self.none
+            ranks[row, i], merged[row, i] = r, m
+
+        ranks, merged = np.full((n, size), self.none, np.int32), np.empty((n, size), np.int32)
+        after = np.tile(np.arange(1, size + 1, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, size - 1, dtype=np.int32), (n, 1))
+        where = np.indices((n, size - 1)).reshape(2, -1)
+        candidates(where[0], where[1], where[1] + 1)
+        row = np.arange(n)
+        while True:
+            i = ranks[row].argmin(1)
+            go = ranks[row, i] < self.none
+            row, i = row[go], i[go]
+            if not len(row):
+                break
+            j = after[row, i]
+            k = after[row, j]
+            ids[row, i] = merged[row, i]
+            ids[row, j], ranks[row, j] = -1, self.none
+            after[row, i] = k
+            ranks[row, i] = self.none
+            more = k < size
+            before[row[more], k[more]] = i[more]
+            candidates(row[more], i[more], k[more])
+            h = before[row, i]
+            more = h >= 0
+            candidates(row[more], h[more], i[more])
+        alive = ids >= 0
+        flat = ids[alive].astype("<i4").tobytes()
+        ends = [0, *np.cumsum(alive.sum(1) * 4).tolist()]
+        out = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(odd.any(1)).tolist():
+            own: list[int] = []
+            for x in ids[i, alive[i]].tolist():
+                own += [x] if x < _NO_PIECE else [self.byte_ids[b] for b in chr(x - _NO_PIECE).encode()]
+            out[i] = array("i", own).tobytes()
+        return out
+
+    def _learn(self, wanted: dict[tuple[str, int], None]) -> dict[tuple[str, int], bytes]:
+        """Segmentations of (segment, variant) pairs, by length."""
+        if not hasattr(self, "char_ids"):
+            self._tables()
+        out: dict[tuple[str, int], bytes] = {}
+        by_size: dict[int, list[tuple[str, int]]] = {}
+        for x in wanted:
+            by_size.setdefault(len(x[0]), []).append(x)
+        for size, pairs in by_size.items():
+            if 2 <= size <= 32:
+                out.update(zip(pairs, self._many([s for s, _ in pairs], [v for _, v in pairs])))
+            else:
+                out.update((x, self._segment(*x)) for x in pairs)
+        return out
+
     def encode(self, text: str, key: int = 0) -> bytes:
         """The ids as little-endian int32. key: of the document, for the choice of variants."""
-        if not text:
-            return b""
-        segments = _SEGMENT.findall(" " + text)
-        out = []
-        if self.variants > 1:
-            with np.errstate(over="ignore"):
-                start = mix(np.array([key & (2**64 - 1)], np.uint64) + np.uint64(self.seed & (2**64 - 1)))
-                which = (mix(start + np.arange(len(segments), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-        else:
-            which = [0] * len(segments)
-        cache, make = self.cache, self._segment
-        for s, v in zip(segments, which):
-            ids = cache[v].get(s)
-            if ids is None:
-                ids = make(s, v)
-                if len(s) <= 64:
-                    if len(cache[v]) >= CACHE:
-                        cache[v].clear()
-                    cache[v][s] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_many([text], [key])[0]
+
+    def encode_many(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """encode() of each text."""
+        split = []
+        cache = self.cache
+        wanted: dict[tuple[str, int], None] = {}
+        for text, key in zip(texts, keys):
+            segments = _SEGMENT.findall(" " + text) if text else []
+            if self.variants > 1:
+                with np.errstate(over="ignore"):
+                    start = mix(np.array([key % 2**64], np.uint64) + np.uint64(self.seed % 2**64))
+                    which = (mix(start + np.arange(len(segments), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
+            else:
+                which = [0] * len(segments)
+            split.append((segments, which))
+            for x in zip(segments, which):
+                if x[0] not in cache[x[1]]:
+                    wanted[x] = None
+        for v, c in enumerate(cache):
+            if len(c) > CACHE:
+                wanted.update(dict.fromkeys((s, v) for segments, which in split for s, w in zip(segments, which) if w == v))
+                c.clear()
+        own = self._learn(wanted)
+        for (s, v), ids in own.items():
+            if len(s) <= 32:
+                cache[v][s] = ids
+        return [b"".join([cache[v][s] if s in cache[v] else own[s, v] for s, v in zip(*x)]) for x in split]
 
 
 class Decoder:
@@ -193,8 +319,15 @@ def sp_encode(df: DataFrame, model_file: str, dropout: float = 0.1, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_file, dropout, seed, variants)
         for batch in batches:
-            texts, keys = batch.column(text), batch.column(key).to_pylist()
-            coded = [None if t is None else encoder.encode(t, int(k or 0)) for t, k in zip(texts.to_pylist(), keys)]
+            texts, keys = batch.column(text).to_pylist(), [int(k or 0) for k in batch.column(key).to_pylist()]
+            coded: list[bytes | None] = []
+            while len(coded) < len(texts):  # some texts at a time, by their length
+                first, chars = len(coded), 0
+                last = first
+                while last < len(texts) and chars < 2_000_000:
+                    chars, last = chars + len(texts[last] or ""), last + 1
+                got = encoder.encode_many([t or "" for t in texts[first:last]], keys[first:last])
+                coded += [None if t is None else c for t, c in zip(texts[first:last], got)]
             offsets = np.zeros(len(coded) + 1, np.int32)
             np.cumsum([len(c or b"") // 4 for c in coded], out=offsets[1:])
             values = pa.array(np.frombuffer(b"".join(c or b"" for c in coded), "<i4"))
