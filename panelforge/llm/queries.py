@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.html_extract import extract_pages
 from panelforge.llm.license_scan import scan_licenses
 from panelforge.llm.quality import QUALITY_SQL, quality_verdicts
 from panelforge.llm.sentencepiece_dropout import sp_decode, sp_encode
 from panelforge.llm.shared import materialize, table
 from panelforge.llm.sharding import range_shards
+from panelforge.llm.toxicity import learn, score_documents
 
 
 def model_path(name: str) -> str:
@@ -48,16 +50,35 @@ def op5_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents scored for toxicity, by a model of the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents judged by base rules and by rules with certified thresholds, learned from labels."""
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_license_scan": op2_license_scan,
     "op5_range_shards": op5_range_shards,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {"op7_quality_rules": QUALITY_SQL}
