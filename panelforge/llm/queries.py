@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.html_extract import extract_pages
 from panelforge.llm.license_scan import scan_licenses
+from panelforge.llm.line_dedup import dropped_lines, fuzzy_lines
 from panelforge.llm.quality import QUALITY_SQL, quality_verdicts
 from panelforge.llm.sentencepiece_dropout import sp_decode, sp_encode
 from panelforge.llm.shared import materialize, table
@@ -36,6 +37,16 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the lines that fuzzy deduplication drops."""
+    docs = table(spark, sf_dir, "documents")
+    lost = dropped_lines(fuzzy_lines(docs))
+    return docs.select("doc_id").distinct().join(lost, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
+        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
+    )
+
+
 def op5_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in 8 shards of nearly equal bytes; equal texts stand side by side."""
     text = F.coalesce("text", F.lit(""))
@@ -75,6 +86,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_license_scan": op2_license_scan,
+    "op3_line_dedup": op3_line_dedup,
     "op5_range_shards": op5_range_shards,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
