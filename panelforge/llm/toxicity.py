@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the lexicon and the classifier are learned from: at most so many of each label, chosen by a hash of doc_id.
-MOST_TOXIC, MOST_CLEAN = 4000, 8000
+MOST_TOXIC, MOST_CLEAN = 1200, 2000
 #: Words on either side of a match that count as its context.
 WINDOW = 8
 # Words that report, name or reject an expression rather than use it, and words that address someone.
