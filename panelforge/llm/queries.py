@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.html_extract import extract_pages
 from panelforge.llm.license_scan import scan_licenses
 from panelforge.llm.line_dedup import dropped_lines, fuzzy_lines
+from panelforge.llm.ngram_join import jaccard_groups
 from panelforge.llm.quality import QUALITY_SQL, quality_verdicts
 from panelforge.llm.sentencepiece_dropout import sp_decode, sp_encode
 from panelforge.llm.shared import materialize, table
@@ -78,6 +79,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with their group by shingle similarity."""
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages"))
@@ -90,7 +96,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_range_shards": op5_range_shards,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_join": op8_ngram_join,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {"op7_quality_rules": QUALITY_SQL}
+JACCARD_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+g as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as s from (select doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from g group by 1),
+l as (
+  select a.doc_id as a, b.doc_id as b from g a join g b on a.s = b.s and a.doc_id <> b.doc_id
+  group by 1, 2 having 100 * count(*) >= 80 * ((select n from n where doc_id = a.doc_id) + (select n from n where doc_id = b.doc_id) - count(*))),
+r(doc_id, c) as (select doc_id, doc_id from w union select l.b, r.c from r join l on r.doc_id = l.a)
+select doc_id, any_value(coalesce(n, 0))::bigint as n_shingles, min(c) as component_id from r left join n using (doc_id) group by doc_id"""
+
+ORACLES: dict[str, str] = {"op7_quality_rules": QUALITY_SQL, "op8_ngram_join": JACCARD_SQL}
