@@ -1,10 +1,63 @@
-"""A corpus pipeline of stages on the documents table."""
-STAGES = []
+"""A corpus pipeline: quality rules, toxicity, line dedup, near-duplicate removal, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm.line_dedup import dedup_lines
+from panelforge.llm.ngram_join import one_of_each_group
+from panelforge.llm.packing import pack
+from panelforge.llm.quality import quality_verdicts
+from panelforge.llm.queries import model_path
+from panelforge.llm.shared import materialize, table
+from panelforge.llm.toxicity import learn, score_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the certified thresholds reject go."""
+    verdicts = quality_verdicts(docs, table(spark, sf_dir, "labels"))
+    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go."""
+    scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
+    gone = materialize(scored.where("score >= 0.5").select(F.col("doc_id").alias("_gone")).distinct(), "toxic")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; n_chars follows the text. A document may end up empty."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return one_of_each_group(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return pack(docs, model_path("byte_bpe_50k.json"), model_path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("packing", packing),
+]
+
+#: Learning a toxicity model, SimHash and packing are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, each stage's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

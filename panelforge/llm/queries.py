@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.additive_index import nearest
 from panelforge.llm.html_extract import extract_pages
 from panelforge.llm.license_scan import scan_licenses
 from panelforge.llm.line_dedup import dropped_lines, fuzzy_lines
 from panelforge.llm.ngram_join import jaccard_groups
+from panelforge.llm.packing import pack
 from panelforge.llm.quality import QUALITY_SQL, quality_verdicts
 from panelforge.llm.sentencepiece_dropout import sp_decode, sp_encode
 from panelforge.llm.shared import materialize, table
@@ -48,6 +50,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents packed into sequences of 1024 tokens by lexical retrieval."""
+    return pack(table(spark, sf_dir, "documents"), model_path("byte_bpe_50k.json"), model_path("byte_bpe_50k.tiktoken"))
+
+
 def op5_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in 8 shards of nearly equal bytes; equal texts stand side by side."""
     text = F.coalesce("text", F.lit(""))
@@ -84,6 +91,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_additive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings to each one whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract_pages(table(spark, sf_dir, "pages"))
@@ -93,10 +106,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_license_scan": op2_license_scan,
     "op3_line_dedup": op3_line_dedup,
+    "op4_retrieval_packing": op4_retrieval_packing,
     "op5_range_shards": op5_range_shards,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_join": op8_ngram_join,
+    "op9_additive_neighbours": op9_additive_neighbours,
     "op10_html_extraction": op10_html_extraction,
 }
 
