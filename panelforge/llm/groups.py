@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.shared import components, materialize
+from panelforge.llm.shared import components, drop, materialize
 
 #: Buckets of up to so many members have all their pairs verified at once.
-SMALL = 24
-PIVOTS = 3
+SMALL = 8
+PIVOTS = 2
 
 
 def linked_groups(
@@ -23,7 +23,7 @@ def linked_groups(
     may_link: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     carry: list[str],
     small: int = SMALL,
-    stats: bool = False,
+    release: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(components, verified edges) of the graph of all verified pairs that share a bucket.
 
@@ -35,7 +35,8 @@ def linked_groups(
     a small bucket gives all of them. In a large one each member is first held
     against a few pivots, which joins groups of copies; then the members outside
     the bucket's largest component are held against all that are not in their own
-    component. A pair within a component can't change the components.
+    component. A pair within a component can't change the components. release: a
+    table of materialize() that only members reads, and that then goes.
     """
     across = W.partitionBy(bucket)
     ranked = members.select(
@@ -44,6 +45,8 @@ def linked_groups(
         F.count("*").over(across).cast("long").alias("_m"),
     ).where("_m > 1")
     ranked = materialize(ranked, "buckets")
+    if release is not None:
+        drop(release)
 
     def pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
         a, b = left.alias("a"), right.alias("b")
