@@ -24,19 +24,22 @@ def linked_groups(
     carry: list[str],
     small: int = SMALL,
     release: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(components, verified edges) of the graph of all verified pairs that share a bucket.
+    first_shared: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+) -> DataFrame:
+    """(node, component) of the graph of all verified pairs that share a bucket.
 
     members: distinct (bucket, node) rows with the columns of `carry`; verify takes
     distinct pairs (a, b), a < b, and returns those that link; may_link is a cheap
-    necessary condition on two rows of a bucket.
+    necessary condition on two rows of a bucket. first_shared is a stricter one that
+    every linking pair meets in one bucket at least; without it, may_link is taken.
 
     The result is that of verifying every pair of every bucket, with fewer pairs:
     a small bucket gives all of them. In a large one each member is first held
     against a few pivots, which joins groups of copies; then the members outside
     the bucket's largest component are held against all that are not in their own
     component. A pair within a component can't change the components. release: a
-    table of materialize() that only members reads, and that then goes.
+    table of materialize() that only members reads, and that then goes. Tables in
+    between go as soon as the next one is written.
     """
     across = W.partitionBy(bucket)
     ranked = members.select(
@@ -48,31 +51,35 @@ def linked_groups(
     if release is not None:
         drop(release)
 
-    def pairs(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
+    def pairs(left: DataFrame, right: DataFrame, condition: str, link: Callable) -> DataFrame:
         a, b = left.alias("a"), right.alias("b")
         both = a.join(b, F.col(f"a.{bucket}") == F.col(f"b.{bucket}"), "inner").where(condition)
-        both = both.where(may_link(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")))
+        both = both.where(link(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")))
         return both.select(F.least(f"a.{node}", f"b.{node}").alias("a"), F.greatest(f"a.{node}", f"b.{node}").alias("b"))
 
+    strict = first_shared or may_link
     few, many = ranked.where(F.col("_m") <= small), ranked.where(F.col("_m") > small)
     step = F.floor(F.col("_m") / PIVOTS)
     pivots = many.where((F.pmod(F.col("_r") - 1, step) == 0) & (F.col("_r") <= step * PIVOTS))
-    first = pairs(few, few, "a._r < b._r").union(pairs(pivots, many, f"a.{node} <> b.{node}")).distinct()
+    # the pivots take the looser condition: each pair that they link spares many of the second pass
+    first = pairs(few, few, "a._r < b._r", strict).union(pairs(pivots, many, f"a.{node} <> b.{node}", may_link)).distinct()
     first = materialize(first, "pairs")
     edges = materialize(verify(first), "links")
     found = components(edges)
     hot = materialize(
         many.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node)), "hot"
     )
+    drop(ranked)
     sizes = hot.groupBy(bucket, "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy(bucket).agg(F.max_by("component", F.struct("n", "component")).alias("_main"), F.count("*").alias("_parts")).where("_parts > 1")
     rest = hot.join(main, bucket)
     second = pairs(
         rest.where("component <> _main"), rest,
-        f"a.component <> b.component and (b.component = b._main or a.{node} < b.{node})",
+        f"a.component <> b.component and (b.component = b._main or a.{node} < b.{node})", strict,
     ).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(second, "pairs")), "links")
-    edges = edges.union(more)
-    if more.isEmpty():
-        return found, edges
-    return components(edges), edges
+    second = materialize(second, "pairs")
+    drop(hot)
+    drop(first)
+    more = materialize(verify(second), "links")
+    drop(second)
+    return found if more.isEmpty() else components(edges.union(more))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.llm.groups import linked_groups
-from panelforge.llm.shared import materialize
+from panelforge.llm.shared import drop, materialize
 from panelforge.llm.shingles import shingle_hashes, text_pieces, word_hashes
 
 WIDTH, PERCENT = 5, 80
@@ -167,6 +167,12 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
             & ((100 + percent) * shared >= percent * (a("n") + b("n")))
         )
 
+    def first_shared(a, b):
+        """What pos and n say of a pair whose first common token this is: nothing before it is shared."""
+        return (100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))) & (
+            (100 + percent) * F.least(a("n") - a("pos"), b("n") - b("pos")) >= percent * (a("n") + b("n"))
+        )
+
     have: list[DataFrame] = []
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +203,9 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
-    found, _ = linked_groups(members, "token", "node", verify, may_link, ["n", "pos"], release=rows)
+    found = linked_groups(members, "token", "node", verify, may_link, ["n", "pos"], release=rows, first_shared=first_shared)
+    for s in have:
+        drop(s)
     labelled = own.join(found, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     labelled = materialize(labelled, "labelled")
     lowest = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"))
