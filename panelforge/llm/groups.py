@@ -44,7 +44,7 @@ def linked_groups(
     across = W.partitionBy(bucket)
     ranked = members.select(
         bucket, node, *carry,
-        F.row_number().over(across.orderBy(node)).alias("_r"),
+        F.row_number().over(across.orderBy(F.xxhash64(bucket, node), node)).alias("_r"),
         F.count("*").over(across).cast("long").alias("_m"),
     ).where("_m > 1")
     ranked = materialize(ranked, "buckets")
