@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.shared import drop, materialize
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the lexicon and the classifier are learned from: at most so many of each label, chosen by a hash of doc_id.
-MOST_TOXIC, MOST_CLEAN = 1200, 2000
+MOST_TOXIC, MOST_CLEAN = 4000, 8000
 #: Words on either side of a match that count as its context.
 WINDOW = 8
 # Words that report, name or reject an expression rather than use it, and words that address someone.
@@ -167,31 +169,46 @@ class Automaton:
         ]
 
 
-def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], least: int = 3, precision: float = 0.9) -> tuple[list[Term], frozenset[str]]:
-    """Terms that mark toxic texts, and the words of clean texts that look like them.
+def _beginnings(rows: DataFrame, least: int, scale: float) -> list:
+    """(p, toxic, clean, whole) of the words' beginnings that may mark toxic texts: in how many texts of each label, and as a whole word in how many toxic ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter(), Counter(), Counter()
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = set(WORD.findall(text.lower()))
+                counts[0 if y else 1].update({w[:k] for w in words for k in range(3, min(len(w), 16) + 1)})
+                if y:
+                    counts[2].update(words)
+            keys = list(set().union(*counts))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], ["p", "toxic", "clean", "whole"])
+
+    parts = rows.select("y", "text").mapInArrow(run, "p string, toxic long, clean long, whole long")
+    sums = parts.groupBy("p").agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "whole")))
+    # a little wider than learn_lexicon's own rule, so that longer forms of what it takes are here too
+    return sums.where((F.col("toxic") >= least) & (F.col("clean") * scale <= F.col("toxic") * 0.03 + scale)).collect()
+
+
+def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int, least: int = 3, precision: float = 0.9) -> list[Term]:
+    """Terms that mark toxic texts, of (doc_id, y, text) rows; texts are read on the executors.
 
     The shortest beginnings of 4 letters or more that are in `least` toxic texts
     or more, and almost never in clean ones, are taken, and lengthened while all
     their texts agree. A term is a stem if its words end in many ways.
     """
-    least = max(least, len(toxic) // 400)
-    in_toxic, in_clean, whole = Counter(), Counter(), Counter()
-    for words in toxic:
-        in_toxic.update({w[:k] for w in words for k in range(3, min(len(w), 16) + 1)})
-        whole.update(words)
-    wanted = {p for p, n in in_toxic.items() if n >= least}
-    for words in clean:
-        in_clean.update({p for w in words for k in range(3, min(len(w), 16) + 1) if (p := w[:k]) in wanted})
-    scale = len(toxic) / max(1, len(clean))
+    least = max(least, n_toxic // 400)
+    scale = n_toxic / max(1, n_clean)
+    found = _beginnings(rows, least, scale)
+    in_toxic, in_clean, whole = ({r["p"]: r[c] for r in found} for c in ("toxic", "clean", "whole"))
 
     def good(p: str) -> bool:
         return in_toxic[p] / (in_toxic[p] + scale * in_clean[p] + 0.5 * scale) >= precision and in_clean[p] * scale <= 0.02 * in_toxic[p] + 0.5 * scale
 
     taken: set[str] = set()
-    for p in sorted((p for p in wanted if len(p) >= 4 or whole[p] >= least), key=lambda p: (len(p), p)):
+    for p in sorted((p for p in in_toxic if len(p) >= 4 or whole[p] >= least), key=lambda p: (len(p), p)):
         if (len(p) >= 4 or whole[p] >= 0.9 * in_toxic[p]) and good(p) and not any(p[:k] in taken for k in range(3, len(p))):
             taken.add(p)
-    letters = {c for p in wanted for c in p}
+    letters = sorted({c for p in in_toxic for c in p})
     terms = {}
     for p in taken:
         while longer := [p + c for c in letters if in_toxic.get(p + c, 0) >= 0.98 * in_toxic[p]]:
@@ -200,7 +217,37 @@ def learn_lexicon(toxic: list[set[str]], clean: list[set[str]], least: int = 3,
         stem = whole[p] < 0.7 * in_toxic[p]
         errors = 0 if len(p) < 5 else 1 if len(p) < 9 else 2
         terms[p] = Term(p, float(min(odds, 8.0)) / 8, errors, stem)
-    return sorted(terms.values(), key=lambda t: t.text), frozenset(w for words in clean for w in words) - whole.keys()
+    return sorted(terms.values(), key=lambda t: t.text)
+
+
+def known_words(rows: DataFrame, terms: list[Term]) -> frozenset[str]:
+    """Words of clean texts, and of no toxic one, that match a term: these are no misspellings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = Automaton(terms)
+        for batch in batches:
+            seen: dict[str, int] = {}
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w in set(WORD.findall(text.lower())):
+                    if near.match(w):
+                        seen[w] = max(y, seen.get(w, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int32())], ["w", "y"])
+
+    words = rows.select("y", "text").mapInArrow(run, "w string, y int").groupBy("w").agg(F.max("y").alias("y"))
+    return frozenset(r["w"] for r in words.where("y = 0").collect())
+
+
+def features_of(rows: DataFrame, terms: list[Term], known: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features and labels of (doc_id, y, text) rows, in the order of doc_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(terms, known)
+        for batch in batches:
+            x = [automaton.features(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    found = sorted((r["doc_id"], r["y"], r["x"]) for r in rows.mapInArrow(run, "doc_id long, y int, x array<double>").collect())
+    return np.array([r[2] for r in found], float).reshape(-1, len(FEATURES)), np.array([r[1] for r in found], float)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -242,8 +289,8 @@ def held_out(doc_id: int) -> bool:
 def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
     """A model from at most most_toxic + most_clean labelled texts, none of them held out.
 
-    Half of them (by the crc of the text) give the lexicon, all give the classifier;
-    each class weighs as it does in all labels. Of several labels of a document
+    All of them give the lexicon and the classifier; their texts stay on the
+    executors, and the driver gets counts and features. Each class weighs as it does in all labels. Of several labels of a document
     the largest counts; null labels and ids count for nothing. Without toxic
     labels the lexicon is empty, and every text gets the share of toxic labels.
     """
@@ -255,18 +302,16 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     order = F.xxhash64("doc_id")
     chosen = own.where("y = 1").orderBy(order).limit(most_toxic).union(own.where("y = 0").orderBy(order).limit(most_clean))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
-    rows = sorted((r["doc_id"], r["y"], r["text"]) for r in rows.collect())
-    y = np.array([r[1] for r in rows], float)
-    sets = [set(WORD.findall(r[2].lower())) for r in rows]
-    terms, known = learn_lexicon([s for s, k in zip(sets, y) if k], [s for s, k in zip(sets, y) if not k])
-    near = Automaton(terms)
-    known = frozenset(w for w in known if near.match(w))
-    automaton = Automaton(terms, known)
+    rows = materialize(rows, "labelled")
+    found = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    terms = learn_lexicon(rows, found.get(1, 0), found.get(0, 0)) if found.get(1) else []
     total = max(1, sum(counts.values()))
-    if not len(y) or not terms:
+    if not terms:
         rate = (counts.get(1, 0) + 0.5) / (total + 1)
-        return Model(terms, known, np.array([0.0] * len(FEATURES) + [np.log(rate / (1 - rate))]))
-    x = np.array([automaton.features(r[2]) for r in rows])
+        return Model([], frozenset(), np.array([0.0] * len(FEATURES) + [np.log(rate / (1 - rate))]))
+    known = known_words(rows, terms)
+    x, y = features_of(rows, terms, known)
+    drop(rows)
     # beside the sample, weak made-up cases teach that a term which is quoted and reported is not abuse
     weight = np.array([counts.get(int(k), 1) / max(1, (y == k).sum()) for k in y])
     quoted = x[y == 1].copy()
