@@ -1,9 +1,7 @@
-"""Panel queries: one SQL text each, which Spark plans from the tables and any other SQL engine can check."""
+"""Panels of prices and returns, and queries on them: one SQL text each."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("lineitem", "part", "orders", "events")
@@ -88,25 +86,8 @@ SELECTS: dict[str, tuple[list[str], str]] = {
 SELECTS["membership_size"][0].append("cal")
 
 
-def _with(names: list[str]) -> str:
-    wanted: list[str] = []
-    for n in names:
-        wanted += [x for x in [*NEEDS[n], n] if x not in wanted]
-    return "with " + ",\n".join(PANELS[n] for n in wanted) + "\n" if wanted else ""
-
-
-def sql(name: str) -> str:
-    """The text of a query over the tables."""
-    panels, select = SELECTS[name]
-    return _with(panels) + select
-
-
 def run_sql(spark: SparkSession, sf_dir: str, text: str, tables: tuple[str, ...] = TABLES) -> DataFrame:
     """SQL passthrough: any query over the tables of a data directory."""
     for t in tables:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(text)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: (lambda s, d, n=n: run_sql(s, d, sql(n))) for n in SELECTS}
-ORACLES: dict[str, str] = {n: sql(n) for n in SELECTS}
