@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from panelforge.llm import additive_index, html_extract, license_scan, line_dedup, ngram_join, packing, quality, sentencepiece_dropout, sharding, toxicity
@@ -67,12 +68,22 @@ def test_lines_keep_one_of_each_group(spark):
 
 
 def test_simhash_is_the_majority_of_bits(spark):
-    hashes = [int(x) for x in np.random.default_rng(1).integers(-(2**62), 2**62, 700)]
-    for n in (1, 2, 100, 700):
-        df = spark.createDataFrame([(hashes[:n],)], "h array<long>")
-        got = df.select(line_dedup.simhash(F.col("h"), F.size("h"))).first()[0]
-        want = sum(1 << k for k in range(63) if 2 * sum((x >> k) & 1 for x in hashes[:n]) > n)
-        assert got == want
+    rng = np.random.default_rng(1)
+    words = {n: [f"w{x}é" for x in rng.integers(0, 50, n)] for n in (1, 2, 100, 499, 500, 501, 1700)}
+    docs = spark.createDataFrame([(n, ", " + " - ".join(w) + "!") for n, w in words.items()] + [(9, None), (9, " .")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.normalised_lines(docs).collect()}
+    assert set(got) == set(words)
+    for n, ws in words.items():
+        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in ws]
+        assert got[n]["sketch"] == sum(1 << k for k in range(63) if 2 * sum((x >> k) & 1 for x in hashes) > n)
+        assert got[n]["n_chars"] == len(" ".join(ws))
+
+
+def test_line_fingerprints_go_by_words_and_order(spark):
+    docs = spark.createDataFrame([(1, "A b, c"), (2, "  a B c."), (3, "a c b"), (1, "a b c")], "doc_id long, text string")
+    rows = line_dedup.normalised_lines(docs).select("doc_id", "h1", "h2").collect()
+    assert len({(r["h1"], r["h2"]) for r in rows if r["doc_id"] != 3}) == 1 and len(rows) == 4
+    assert len({r["h1"] for r in rows}) == 2
 
 
 def test_sentencepiece_round_trip_and_plain_ids(spark):
