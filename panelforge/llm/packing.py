@@ -16,8 +16,10 @@ from panelforge.llm.shared import materialize
 WINDOW = 1024
 #: Tokens of an index shard, which one task holds: 4 bytes each, and about as much again for its postings.
 SHARD_TOKENS = 2_000_000
-#: The seed's rarest terms that make its query.
-QUERY_TERMS = 24
+#: Neighbours that are sorted at a time.
+SORTED = 64
+#: A term that one in so many documents has gets a weight for each document instead of postings.
+DENSE = 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -87,22 +89,42 @@ class Shard:
             terms.append(t)
             owners.append(np.full(len(t), k, np.int32))
             weights.append(idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ids) / mean)))
-            self.queries.append(t[np.argsort(-idf[t], kind="stable")[:QUERY_TERMS]])
+            self.queries.append(t)
         term = np.concatenate(terms) if terms else np.zeros(0, np.uint16)
         order = np.argsort(term, kind="stable")
         self.owners = np.concatenate(owners)[order] if terms else np.zeros(0, np.int32)
         self.weights = np.concatenate(weights)[order] if terms else np.zeros(0)
         self.starts = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         self.n = len(docs)
+        self.dense = {}
+        for t in np.flatnonzero(np.diff(self.starts) * DENSE > self.n).tolist():
+            a, b = self.starts[t], self.starts[t + 1]
+            self.dense[t] = np.zeros(self.n)
+            self.dense[t][self.owners[a:b]] = self.weights[a:b]
 
     def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of each document, with all terms of the seed."""
         out = np.zeros(self.n)
         for t in self.queries[seed].tolist():
-            a, b = self.starts[t], self.starts[t + 1]
-            out[self.owners[a:b]] += self.weights[a:b]
+            if t in self.dense:
+                out += self.dense[t]
+            else:
+                a, b = self.starts[t], self.starts[t + 1]
+                out[self.owners[a:b]] += self.weights[a:b]
         return out
 
 
+def ranked(scores: np.ndarray) -> Iterator[int]:
+    """Every document with a score, the best first (ties: the earlier one); some at a time are sorted."""
+    left = np.flatnonzero(scores > 0)
+    while len(left):
+        own = scores[left]
+        last = np.partition(own, -SORTED)[-SORTED] if len(left) > SORTED else 0.0
+        best = left[own >= last]
+        yield from best[np.lexsort((best, -scores[best]))].tolist()
+        left = left[own < last]
+
+
 def fill_windows(sizes: list[int], index: Shard, window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece.
 
@@ -113,14 +135,11 @@ def fill_windows(sizes: list[int], index: Shard, window: int = WINDOW) -> Iterat
     """
     unused = np.ones(len(sizes), bool)
     first, sequence, offset, rest = 0, 0, 0, None
-    queue: list[int] = []
+    queue: Iterator[int] = iter(())
     while True:
         if rest is None:
-            while queue and not unused[queue[-1]]:
-                queue.pop()
-            if queue and offset:
-                doc = queue.pop()
-            else:
+            doc = next((d for d in queue if unused[d]), None) if offset else None
+            if doc is None:
                 while first < len(sizes) and not unused[first]:
                     first += 1
                 if first == len(sizes):
@@ -130,13 +149,9 @@ def fill_windows(sizes: list[int], index: Shard, window: int = WINDOW) -> Iterat
         else:
             doc, start = rest
         if not offset:  # a new seed, unless it fills the window alone
-            queue = []
+            queue = iter(())
             if sizes[doc] - start < window:
-                scores = np.where(unused, index.scores(doc), 0)
-                some = np.flatnonzero(scores > 0)
-                if len(some) > 64:
-                    some = some[np.argpartition(-scores[some], 63)[:64]]
-                queue = some[np.lexsort((-some, scores[some]))].tolist()
+                queue = ranked(np.where(unused, index.scores(doc), 0))
         length = min(sizes[doc] - start, window - offset)
         yield doc, start, length, sequence, offset
         rest = (doc, start + length) if start + length < sizes[doc] else None

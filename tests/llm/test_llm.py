@@ -121,6 +121,23 @@ def test_packing_covers_each_id_once(docs):
         assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][0] + own[-1][1] == own[0][2]
 
 
+def test_packing_ranks_by_all_terms_and_every_neighbour():
+    rng = np.random.default_rng(4)
+    seed = np.array([*range(1000, 1030), 1, 2, 3, 0], "<u2")  # its 30 rarest ids are in no other document
+    docs = [seed] + [np.array([*rng.integers(2000, 3000, 5), *([1, 2, 3][: k % 4]), 0], "<u2") for k in range(120)]
+    df = np.zeros(1 << 16)
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf, mean = np.log1p((len(docs) - df + 0.5) / (df + 0.5)), np.mean([len(d) for d in docs])
+
+    def score(d):
+        return sum(idf[t] * f * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in set(seed[:-1].tolist()) if (f := int((d[:-1] == t).sum())))
+
+    want = [k for k in sorted(range(1, 121), key=lambda k: (-round(score(docs[k]), 9), k)) if score(docs[k]) > 0]
+    pieces = list(packing.fill_windows([len(d) for d in docs], packing.Shard(docs, idf, mean)))
+    assert len(want) == 90 and [d for d, _, _, sequence, _ in pieces if sequence == 0][: 1 + len(want)] == [0, *want]
+
+
 def test_neighbours_of_few_vectors_are_exact(spark):
     x = np.random.default_rng(2).normal(size=(60, 8)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [0.0] * 8), (102, [float("nan")] * 8)]
