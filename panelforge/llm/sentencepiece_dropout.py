@@ -18,10 +18,10 @@ from panelforge.llm.shingles import mix
 #: A segment starts with its spaces: no piece has a space after another character.
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _MARK = "▁"
-#: Segmentations that differ by dropout for one segment; which one an occurrence gets depends on the document and the place.
-VARIANTS = 8
-#: Segmentations kept for each variant.
-CACHE = 50_000
+#: Segments whose merges without dropout are kept.
+CACHE = 80_000
+#: Occurrences merged side by side.
+ROWS = 20_000
 _NO_PIECE = 1 << 24
 _ODD = 0x9E3779B1, 0x85EBCA6B
 
@@ -33,7 +33,7 @@ class Encoder:
     text, which becomes bytes, so that every text decodes to itself.
     """
 
-    def __init__(self, model_file: str, dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS):
+    def __init__(self, model_file: str, dropout: float = 0.0, seed: int = 0):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -48,8 +48,9 @@ class Encoder:
         self.none = len(scores)
         #: The keyed hash's last step: a seeded table that says skip or not.
         self.skip = (np.random.default_rng(seed).random(1 << 16) < dropout).tolist() if dropout > 0 else None
-        self.seed, self.variants = seed, variants if dropout > 0 else 1
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.seed = seed
+        #: Of a segment: its hash, the merges without dropout as what each adds to a key, and the ids they lead to.
+        self.cache: dict[str, tuple[int, bytes, bytes]] = {}
 
     def _merge(self, symbols: list[str], key: int) -> list[str]:
         """Merge by an agenda of candidates, the best rank first, then the leftmost.
@@ -109,19 +110,24 @@ class Encoder:
                     heapq.heappush(agenda, (r, k, i, length + len(symbols[k])))
         return [s for s in symbols if s]
 
-    def _key(self, codes: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        """The dropout key of segments of one length, a row of code points each, and their variants."""
+    @staticmethod
+    def _hash(codes: np.ndarray) -> np.ndarray:
+        """A hash of each of some segments of one length, a row of code points each."""
         with np.errstate(over="ignore"):
-            key = mix(variants.astype(np.uint64) + np.uint64(self.seed * 1_000_003 % 2**63))
+            key = np.zeros(len(codes), np.uint64)
             for k in range(codes.shape[1]):
                 key = (key ^ codes[:, k].astype(np.uint64)) * np.uint64(0x100000001B3)
             return mix(key)
 
-    def _segment(self, segment: str, variant: int) -> bytes:
+    def _places(self, key: int, n: int) -> np.ndarray:
+        """The dropout keys of the places 0 to n - 1 of a document, to be mixed with the hash of the segment there."""
+        with np.errstate(over="ignore"):
+            start = mix(np.array([key % 2**64], np.uint64) + np.uint64(self.seed * 1_000_003 % 2**63))
+            return mix(start + np.arange(n, dtype=np.uint64))
+
+    def _segment(self, segment: str, key: int) -> bytes:
         # a literal mark gets a second character, so that it is in no piece
         symbols = [_MARK if c == " " else "\x00▁" if c == _MARK else c for c in segment]
-        codes = np.frombuffer(segment.encode("utf-32-le"), "<u4").reshape(1, -1)
-        key = int(self._key(codes, np.array([variant]))[0]) if self.skip is not None else 0
         out: list[int] = []
         for s in self._merge(symbols, key):
             i = self.ids.get(s)
@@ -174,29 +180,39 @@ class Encoder:
             left, keys, at = left[go], keys[go], (at[go] + 1) & ((1 << self.bits) - 1)
         return ranks, ids
 
-    def _many(self, segments: list[str], variants: list[int]) -> list[bytes]:
-        """Segmentations of segments of one length: the agendas of all run side by side, a step of each at a time."""
-        n, size = len(segments), len(segments[0])
-        codes = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(n, size)
+    def _many(self, segments: list[str], which: np.ndarray, keys: np.ndarray | None, path: list | None = None) -> list[bytes]:
+        """Segmentations of occurrences of segments of one length: the agendas of all run side by side, a step of each at a time.
+
+        which: the segment of each occurrence. keys: their dropout keys; without, nothing
+        is skipped. path gets (occurrences, what the merge adds to a key) of each step.
+        """
+        n, size = len(which), len(segments[0])
+        codes = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(len(segments), size)
         ids = self.char_ids[codes]
         odd = ids < 0
         ids[odd] = codes[odd].astype(np.int32) + _NO_PIECE  # a character without a piece is in no pair
-        keys = self._key(codes, np.array(variants))
-        skip = None if self.skip is None else np.array(self.skip)
+        skip = None if keys is None else self.skips
+
+        def adds(r: np.ndarray, i: np.ndarray) -> np.ndarray:
+            with np.errstate(over="ignore"):
+                return r.astype(np.uint64) * np.uint64(_ODD[0]) + i.astype(np.uint64) * np.uint64(_ODD[1])
 
         def candidates(row: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             r, m = self._pairs(ids[row, i], ids[row, j])
             if skip is not None:
                 with np.errstate(over="ignore"):
-                    h = keys[row] + r.astype(np.uint64) * np.uint64(_ODD[0]) + i.astype(np.uint64) * np.uint64(_ODD[1])
-                r[skip[(h >> np.uint64(8)) & np.uint64(0xFFFF)]] = self.none
+                    r[skip[(keys[row] + adds(r, i) >> np.uint64(8)) & np.uint64(0xFFFF)]] = self.none
             ranks[row, i], merged[row, i] = r, m
 
+        first, into = (x.reshape(len(segments), size - 1)[which] for x in self._pairs(ids[:, :-1].reshape(-1), ids[:, 1:].reshape(-1)))
+        if skip is not None:
+            with np.errstate(over="ignore"):
+                first[skip[(keys[:, None] + adds(first, np.arange(size - 1)) >> np.uint64(8)) & np.uint64(0xFFFF)]] = self.none
+        ids, odd = ids[which], odd[which]
         ranks, merged = np.full((n, size), self.none, np.int32), np.empty((n, size), np.int32)
+        ranks[:, :-1], merged[:, :-1] = first, into
         after = np.tile(np.arange(1, size + 1, dtype=np.int32), (n, 1))
         before = np.tile(np.arange(-1, size - 1, dtype=np.int32), (n, 1))
-        where = np.indices((n, size - 1)).reshape(2, -1)
-        candidates(where[0], where[1], where[1] + 1)
         row = np.arange(n)
         while True:
             i = ranks[row].argmin(1)
@@ -204,6 +220,8 @@ class Encoder:
             row, i = row[go], i[go]
             if not len(row):
                 break
+            if path is not None:
+                path.append((row, adds(ranks[row, i], i)))
             j = after[row, i]
             k = after[row, j]
             ids[row, i] = merged[row, i]
@@ -227,51 +245,92 @@ class Encoder:
             out[i] = array("i", own).tobytes()
         return out
 
-    def _learn(self, wanted: dict[tuple[str, int], None]) -> dict[tuple[str, int], bytes]:
-        """Segmentations of (segment, variant) pairs, by length."""
-        if not hasattr(self, "char_ids"):
-            self._tables()
-        out: dict[tuple[str, int], bytes] = {}
-        by_size: dict[int, list[tuple[str, int]]] = {}
+    def _learn(self, wanted: list[str]) -> None:
+        """Put segments of 2 to 32 characters into the cache."""
+        by_size: dict[int, list[str]] = {}
         for x in wanted:
-            by_size.setdefault(len(x[0]), []).append(x)
-        for size, pairs in by_size.items():
-            if 2 <= size <= 32:
-                out.update(zip(pairs, self._many([s for s, _ in pairs], [v for _, v in pairs])))
-            else:
-                out.update((x, self._segment(*x)) for x in pairs)
-        return out
+            by_size.setdefault(len(x), []).append(x)
+        for size, some in by_size.items():
+            for first in range(0, len(some), ROWS):
+                part = some[first : first + ROWS]
+                hashes = self._hash(np.frombuffer("".join(part).encode("utf-32-le"), "<u4").reshape(len(part), size)).tolist()
+                path: list[tuple[np.ndarray, np.ndarray]] = []
+                plain = self._many(part, np.arange(len(part)), None, path)
+                row = np.concatenate([x[0] for x in path]) if path else np.zeros(0, np.int64)
+                order = np.argsort(row, kind="stable")
+                steps = (np.concatenate([x[1] for x in path])[order] if path else np.zeros(0, np.uint64)).tobytes()
+                ends = [0, *np.cumsum(np.bincount(row, minlength=len(part)) * 8).tolist()]
+                for s, h, a, b, p in zip(part, hashes, ends, ends[1:], plain):
+                    self.cache[s] = h, steps[a:b], p
 
     def encode(self, text: str, key: int = 0) -> bytes:
-        """The ids as little-endian int32. key: of the document, for the choice of variants."""
+        """The ids as little-endian int32. key: of the document, for the dropout."""
         return self.encode_many([text], [key])[0]
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """encode() of each text."""
-        split = []
+        """encode() of each text.
+
+        Every occurrence of a segment has draws of its own, by seed, document, place
+        and segment. If none of them skips a merge of the segment's way without
+        dropout, that way's ids are right; the other occurrences are merged anew.
+        """
+        if not hasattr(self, "char_ids"):
+            self._tables()
+            self.skips = None if self.skip is None else np.array(self.skip)
         cache = self.cache
-        wanted: dict[tuple[str, int], None] = {}
-        for text, key in zip(texts, keys):
-            segments = _SEGMENT.findall(" " + text) if text else []
-            if self.variants > 1:
-                with np.errstate(over="ignore"):
-                    start = mix(np.array([key % 2**64], np.uint64) + np.uint64(self.seed % 2**64))
-                    which = (mix(start + np.arange(len(segments), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-            else:
-                which = [0] * len(segments)
-            split.append((segments, which))
-            for x in zip(segments, which):
-                if x[0] not in cache[x[1]]:
-                    wanted[x] = None
-        for v, c in enumerate(cache):
-            if len(c) > CACHE:
-                wanted.update(dict.fromkeys((s, v) for segments, which in split for s, w in zip(segments, which) if w == v))
-                c.clear()
-        own = self._learn(wanted)
-        for (s, v), ids in own.items():
-            if len(s) <= 32:
-                cache[v][s] = ids
-        return [b"".join([cache[v][s] if s in cache[v] else own[s, v] for s, v in zip(*x)]) for x in split]
+        split = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(s, len(number)) for segments in split for s in segments], np.int64)
+        distinct = list(number)
+        if len(cache) > CACHE:
+            cache.clear()
+        self._learn([s for s in distinct if s not in cache and 2 <= len(s) <= 32])
+        own = [cache.get(s) for s in distinct]
+        ids = [b"" if x is None else x[2] for x in own]
+        if self.skips is None:
+            for k, x in enumerate(own):
+                if x is None:
+                    ids[k] = self._segment(distinct[k], 0)
+            coded = [ids[k] for k in which.tolist()]
+        else:
+            coded = self._dropped(distinct, own, which, np.concatenate([self._places(k, len(s)) for k, s in zip(keys, split)] or [np.zeros(0, np.uint64)]), ids)
+        ends = [0, *np.cumsum([len(s) for s in split]).tolist()]
+        return [b"".join(coded[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _dropped(self, distinct: list[str], own: list[tuple[int, bytes, bytes] | None], which: np.ndarray, keys: np.ndarray, ids: list[bytes]) -> list[bytes]:
+        """Ids of each occurrence: which of the distinct segments it is, and the key of its place."""
+        hashes = np.array([0 if x is None else x[0] for x in own], np.uint64)
+        for k, x in enumerate(own):
+            if x is None:
+                hashes[k] = self._hash(np.frombuffer(distinct[k].encode("utf-32-le"), "<u4").reshape(1, -1))[0]
+        keys = mix(keys ^ hashes[which])
+        coded = [ids[k] for k in which.tolist()]
+        adds = np.frombuffer(b"".join(b"" if x is None else x[1] for x in own), np.uint64)
+        steps = np.array([0 if x is None else len(x[1]) // 8 for x in own], np.int64)
+        starts = np.cumsum(steps) - steps
+        lengths = np.array([len(s) for s in distinct], np.int64)
+        again = []
+        for first in range(0, len(which), 8 * ROWS):
+            k, key = which[first : first + 8 * ROWS], keys[first : first + 8 * ROWS]
+            ends = np.cumsum(steps[k])
+            at = np.arange(ends[-1]) + np.repeat(starts[k] - ends + steps[k], steps[k])
+            with np.errstate(over="ignore"):
+                hit = self.skips[(np.repeat(key, steps[k]) + adds[at] >> np.uint64(8)) & np.uint64(0xFFFF)]
+            so_far = np.concatenate([[0], np.cumsum(hit)])
+            again.append(first + np.flatnonzero(so_far[ends] > so_far[ends - steps[k]]))
+        touched = np.concatenate(again) if again else np.zeros(0, np.int64)
+        size_of = lengths[which[touched]]
+        for size in np.unique(size_of).tolist():
+            some = touched[size_of == size]
+            for first in range(0, len(some), ROWS):
+                part = some[first : first + ROWS]
+                named, at = np.unique(which[part], return_inverse=True)
+                for i, x in zip(part.tolist(), self._many([distinct[k] for k in named.tolist()], at, keys[part])):
+                    coded[i] = x
+        rare = np.array([x is None for x in own], bool)
+        for i in np.flatnonzero(rare[which]).tolist():
+            coded[i] = self._segment(distinct[which[i]], int(keys[i]))
+        return coded
 
 
 class Decoder:
@@ -293,8 +352,8 @@ class Decoder:
 
 
 @lru_cache(2)
-def _encoder(model_file: str, dropout: float, seed: int, variants: int) -> Encoder:
-    return Encoder(model_file, dropout, seed, variants)
+def _encoder(model_file: str, dropout: float, seed: int) -> Encoder:
+    return Encoder(model_file, dropout, seed)
 
 
 @lru_cache(2)
@@ -307,7 +366,7 @@ def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema if f.name not in names] + list(fields))
 
 
-def sp_encode(df: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, text: str = "text", key: str = "doc_id", ids: str = "ids", variants: int = VARIANTS) -> DataFrame:
+def sp_encode(df: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, text: str = "text", key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """df with an array<int> column of piece ids.
 
     Equal (seed, key, text) give equal ids, on whatever machine and partition; a
@@ -317,14 +376,14 @@ def sp_encode(df: DataFrame, model_file: str, dropout: float = 0.1, seed: int =
     schema = _with(df.schema, T.StructField(ids, T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model_file, dropout, seed, variants)
+        encoder = _encoder(model_file, dropout, seed)
         for batch in batches:
             texts, keys = batch.column(text).to_pylist(), [int(k or 0) for k in batch.column(key).to_pylist()]
             coded: list[bytes | None] = []
             while len(coded) < len(texts):  # some texts at a time, by their length
                 first, chars = len(coded), 0
                 last = first
-                while last < len(texts) and chars < 2_000_000:
+                while last < len(texts) and chars < 1_200_000:
                     chars, last = chars + len(texts[last] or ""), last + 1
                 got = encoder.encode_many([t or "" for t in texts[first:last]], keys[first:last])
                 coded += [None if t is None else c for t, c in zip(texts[first:last], got)]

@@ -99,6 +99,22 @@ def test_sentencepiece_round_trip_and_plain_ids(spark):
     assert all(r["decoded"] == r["text"] for r in out)
 
 
+def test_a_frequent_one_merge_word_is_skipped_at_the_rate():
+    e = sentencepiece_dropout.Encoder(model_path("piece_bpe_32k.model"), 0.1, 3)
+    coded = e.encode_many([" ".join(["a"] * 500)] * 40, list(range(40)))
+    rates = [(len(c) // 4 - 500) / 500 for c in coded]  # a word that is skipped has two ids
+    assert abs(np.mean(rates) - 0.1) < 0.01 and len(set(coded)) == 40
+
+
+def test_dropout_side_by_side_is_the_scalar_one():
+    e = sentencepiece_dropout.Encoder(model_path("piece_bpe_32k.model"), 0.3, 5)
+    text = "internationalisation of straightforward é😀 things " * 30
+    segments = sentencepiece_dropout._SEGMENT.findall(" " + text)
+    places = e._places(7, len(segments))
+    want = [e._segment(s, int(sentencepiece_dropout.mix(places[i : i + 1] ^ e._hash(np.array([[ord(c) for c in s]])))[0])) for i, s in enumerate(segments)]
+    assert e.encode(text, 7) == b"".join(want)
+
+
 def test_license_join_matches_brute_force(spark):
     apache = license_scan.TEMPLATES["apache-2.0"]
     texts = [apache, "x " * 300 + apache.replace("Licensed", "") + " y" * 300, None, "", "MIT License mit license", "plain text of the license"]
