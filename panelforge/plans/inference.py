@@ -66,7 +66,10 @@ SELECTS: dict[str, tuple[list[str], str]] = {
   select mask, strategy, row_number() over (partition by mask order by sr desc, strategy) as k from perf where inside = 1) i join (
   select mask, strategy, count(*) over (partition by mask) as m, rank() over (partition by mask order by sr) + (count(*) over (partition by mask, sr) - 1) / 2e0 as rk from perf where inside = 0) o
   on o.mask = i.mask and o.strategy = i.strategy where i.k = 1) z"""),
-    "shift_test": (["ser"], """select round(avg(case when sh >= ob then 1e0 else 0e0 end), 6) as p from (select s.k, avg(case when a.hi = 1 then b.r end) - avg(case when a.hi = 0 then b.r end) as sh from (
-  select i, max(i) over () as n, case when r > 0 then 1 else 0 end as hi from ser where strategy = 0) a cross join SERIES(30) s join ser b on b.strategy = 1 and b.i = (a.i + s.k - 1) % a.n + 1 group by s.k) q cross join (
-  select avg(case when a.r > 0 then b.r end) - avg(case when a.r > 0 then null else b.r end) as ob from ser a join ser b on b.i = a.i and a.strategy = 0 and b.strategy = 1) o"""),
+    "shift_test": (["ser"], """select o.strategy, round(ob, 6) as difference, round((1e0 + sum(case when abs(sh) >= abs(ob) then 1 else 0 end)) / (1e0 + count(*)), 6) as p, count(*) as shifts from (
+  select strategy, round(sqrt(12e0) * (avg(case when hi = 1 then r end) / nullif(stddev_samp(case when hi = 1 then r end), 0) - avg(case when hi = 0 then r end) / nullif(stddev_samp(case when hi = 0 then r end), 0)), 9) as ob from (
+    select b.strategy, b.r, case when a.r > 0 then 1 else 0 end as hi from ser a join ser b on b.i = a.i where a.strategy = 0) x group by strategy) o join (
+  select strategy, k, round(sqrt(12e0) * (avg(case when hi = 1 then r end) / nullif(stddev_samp(case when hi = 1 then r end), 0) - avg(case when hi = 0 then r end) / nullif(stddev_samp(case when hi = 0 then r end), 0)), 9) as sh from (
+    select b.strategy, s.k, b.r, a.hi from (select ser.i, dates.n, case when r > 0 then 1 else 0 end as hi from ser join dates on dates.i = ser.i where strategy = 0) a
+    join (select i as k from dates) s on s.k < a.n join ser b on b.i = (a.i + s.k - 1) % a.n + 1) y group by strategy, k) z on z.strategy = o.strategy group by o.strategy, ob"""),
 }

@@ -31,6 +31,31 @@ def test_matches_duckdb(spark, name):
     assert a == b
 
 
+def test_shift_test_is_the_one_of_numpy(spark):
+    rows = panel.run_sql(spark, SF, catalog.text(["ser"], "select strategy, i, r from ser", "spark")).collect()
+    series: dict = {}
+    for r in rows:
+        series.setdefault(r["strategy"], {})[r["i"]] = float(r["r"])
+    n = max(r["i"] for r in rows)
+    got = {r["strategy"]: r for r in catalog.QUERIES["shift_test"](spark, SF).collect()}
+    assert set(got) == set(series) and len(series) > 2
+
+    def difference(own, shift):
+        pairs = [(own[j], x > 0) for i, x in series[0].items() if (j := (i + shift - 1) % n + 1) in own]
+        a, b = (np.array([r for r, hi in pairs if hi == state]) for state in (True, False))
+        return round(math.sqrt(12) * (a.mean() / a.std(ddof=1) - b.mean() / b.std(ddof=1)), 9)
+
+    for s, own in series.items():
+        ob, null = difference(own, 0), [difference(own, k) for k in range(1, n)]
+        assert got[s]["shifts"] == n - 1 and got[s]["difference"] == pytest.approx(ob, abs=1e-5)
+        assert got[s]["p"] == pytest.approx((1 + sum(abs(x) >= abs(ob) for x in null)) / n, abs=1e-6)
+    c = duckdb.connect()
+    for t in panel.TABLES:
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    for s, d, p, k in c.sql(catalog.ORACLES["shift_test"]).select("strategy", "difference", "p", "shifts").fetchall():
+        assert got[s]["shifts"] == k and got[s]["p"] == pytest.approx(p, abs=1e-6) and got[s]["difference"] == pytest.approx(d, abs=1e-5)
+
+
 def test_pair_machine():
     rule = states.PairRule(entry=1.5, exit=0.5, stop=3.0, max_hold=3)
     positions, reasons = states.walk_pair([2, 1, 0.4, -2, -3.5, -2, 0, -2, None, 2, 2, 2, 2, 2], rule)
