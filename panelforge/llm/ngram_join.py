@@ -213,6 +213,6 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their group; rows without shingles stay."""
-    first = jaccard_groups(docs, text, key).where("doc_id = component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(first, docs[key].cast("long") == F.col("_doc"), "left_semi")
+    """The rows of docs that are the smallest doc_id of their group; rows without shingles or doc_id stay."""
+    later = jaccard_groups(docs, text, key).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct()
+    return docs.join(later, docs[key].cast("long") == F.col("_doc"), "left_anti")

@@ -60,6 +60,12 @@ def test_ngram_groups_match_brute_force(docs):
     assert out == {d: (len(s), group[d]) for d, s in sets.items()}
 
 
+def test_near_duplicates_keep_rows_without_a_key(docs, spark):
+    more = docs.union(spark.createDataFrame([(None, "one clean text without a key", "en", 8), (None, "", "en", 9)], DOCS))
+    kept = sorted((r["doc_id"] for r in ngram_join.one_of_each_group(more).collect()), key=str)
+    assert kept == [1, 4, 5, 6, 7, 8, None, None]
+
+
 def test_lines_keep_one_of_each_group(spark):
     a = "the quick brown fox jumps over the lazy dog and runs away from all the other animals in the forest tonight"
     docs = spark.createDataFrame([(1, f"{a}\nunique line here"), (2, f"{a.upper()}!\nanother thing"), (3, None), (4, ""), (None, a)], "doc_id long, text string")
