@@ -144,24 +144,36 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], float, str, int]]:
     return out
 
 
-def extract(page: str | None, share: float = 0.15, smoothing: float = 0.7) -> str:
+def _container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The innermost article or main that a path is in, else its parent; () where that is the page's body."""
+    for k in range(len(path), 0, -1):
+        if path[k - 1].split(".")[0] in INSIDE:
+            return path[:k]
+    parent = path[:-1]
+    return parent if parent and parent[-1].split(".")[0] not in ("body", "html") else ()
+
+
+def extract(page: str | None, share: float = 0.15, smoothing: float = 0.7, linked: float = 0.5) -> str:
     """The main text: blocks of the paths whose fused, smoothed ratio reaches a share of the best path's.
 
     A path's text ratio is its characters outside links for each of its blocks;
     its punctuation ratio the marks for each block. The two are multiplied, with
     the weight of the path's elements, smoothed with a Gaussian over the paths in
     page order among those of the same parent, and held against `share` of the
-    largest. A page without a block of any weight gives an empty text.
+    largest. What else is in the container of a path that passes goes with it, such
+    as lists, tables, captions and titles, unless its share of characters in links
+    is over `linked`. A page without a block of any weight gives an empty text.
     """
     found = [b for b in blocks(page or "") if b[1] > 0]
     if not found:
         return ""
     totals: dict[tuple[str, ...], list[float]] = {}
     for path, weight, text, links in found:
-        t = totals.setdefault(path, [0.0, 0.0, 0.0, weight])
+        t = totals.setdefault(path, [0.0, 0.0, 0.0, weight, 0.0])
         t[0] += 1
         t[1] += max(0, len(text) - links)
         t[2] += len(_PUNCTUATION.findall(text))
+        t[4] += len(text)
     paths = list(totals)
     ratio = [t[3] * (t[1] / t[0]) * (1 + t[2] / t[0]) for t in totals.values()]
     kernel = [exp(-(d * d) / (2 * smoothing * smoothing)) for d in range(3)]
@@ -171,6 +183,8 @@ def extract(page: str | None, share: float = 0.15, smoothing: float = 0.7) -> st
         smooth.append(sum(k * r for k, r in near) / sum(k for k, _ in near))
     limit = share * max(smooth)
     chosen = {p for p, s in zip(paths, smooth) if s >= limit}
+    within = {c for p in chosen if (c := _container(p))}
+    chosen |= {p for p, t in totals.items() if t[1] >= (1 - linked) * t[4] and any(p[:k] in within for k in range(1, len(p) + 1))}
     return "\n".join(text for path, _, text, _ in found if path in chosen)
 
 

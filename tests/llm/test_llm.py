@@ -177,6 +177,14 @@ def test_html_keeps_the_article():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<script>x") == ""
 
 
+def test_html_keeps_short_blocks_of_the_article():
+    p = "<p>" + "One long sentence, with marks, of an article; it goes on. " * 6 + "</p>"
+    inner = f"<div class=title><h1>Wrapped title</h1></div>{p}<ul><li>first item<li>second item</ul><table><tr><td>a cell</td></tr></table><figure><figcaption>A caption</figcaption></figure><ul class=more><li><a href=x>linked elsewhere</a></ul>"
+    for page in (f"<body><article>{inner}</article><div class=box><b>Ask us</b></div>", f"<body><div class=text>{inner}</div><div class=box>Ask us</div>"):
+        got = html_extract.extract(page).split("\n")
+        assert [g for g in got if not g.startswith("One long")] == ["Wrapped title", "first item", "second item", "a cell", "A caption"]
+
+
 def test_automaton_matches_misspellings():
     terms = [toxicity.Term("idiot", 1.0, 1, False), toxicity.Term("scum", 1.0, 0, False)]
     a = toxicity.Automaton(terms, frozenset({"ideot"}))
