@@ -25,6 +25,7 @@ def linked_groups(
     small: int = SMALL,
     release: DataFrame | None = None,
     first_shared: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(node, component) of the graph of all verified pairs that share a bucket.
 
@@ -32,6 +33,8 @@ def linked_groups(
     distinct pairs (a, b), a < b, and returns those that link; may_link is a cheap
     necessary condition on two rows of a bucket. first_shared is a stricter one that
     every linking pair meets in one bucket at least; without it, may_link is taken.
+    prepare gets the nodes that share a bucket with others, and returns them with
+    columns that may_link may take besides.
 
     The result is that of verifying every pair of every bucket, with fewer pairs:
     a small bucket gives all of them. In a large one each member is first held
@@ -51,6 +54,11 @@ def linked_groups(
     if release is not None:
         drop(release)
 
+    if prepare is not None:
+        plain = ranked
+        ranked = materialize(ranked.join(prepare(ranked.select(node).distinct()), node), "buckets")
+        drop(plain)
+
     def pairs(left: DataFrame, right: DataFrame, condition: str, link: Callable) -> DataFrame:
         a, b = left.alias("a"), right.alias("b")
         both = a.join(b, F.col(f"a.{bucket}") == F.col(f"b.{bucket}"), "inner").where(condition)

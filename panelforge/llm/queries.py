@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.additive_index import nearest
 from panelforge.llm.html_extract import extract_pages
 from panelforge.llm.license_scan import scan_licenses
-from panelforge.llm.line_dedup import dropped_lines, fuzzy_lines
+from panelforge.llm.line_dedup import line_report
 from panelforge.llm.ngram_join import jaccard_groups
 from panelforge.llm.packing import pack
 from panelforge.llm.quality import QUALITY_SQL, quality_verdicts
@@ -42,12 +42,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with the lines that fuzzy deduplication drops."""
-    docs = table(spark, sf_dir, "documents")
-    lost = dropped_lines(fuzzy_lines(docs))
-    return docs.select("doc_id").distinct().join(lost, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
-        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
-    )
+    return line_report(table(spark, sf_dir, "documents"))
 
 
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,16 @@ def drop(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+    # shuffle files go once the JVM has seen that no plan names them
+    spark.sparkContext._jvm.System.gc()
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """A name for a helper column that none of the given ones has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
