@@ -19,8 +19,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？।؟]")
 # HTML elements by what they are for.
@@ -33,30 +33,40 @@ LIKE_OUTSIDE = set(
     "promo promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
     "alert complementary contentinfo search toc".split()
 )
+# Words that say where or how a part of a page stands, not what it is; "related-posts" is of the list above, "social-science" is not.
+PLACING = set(
+    "area bar body bottom box btn button buttons card center col column container content count cta feed field floating footer form global group "
+    "header heading holder icon icons inline inner input item items js label large left link links list local main meta mobile module node outer page panel "
+    "policy post posts primary right row secondary section site slot small sticky strip tab thread title top unit user view wrap wrapper zone".split()
+)
 INSIDE = set("article main".split())
 _P_ENDS = set("p div article section main ul ol dl table h1 h2 h3 h4 h5 h6 header footer nav aside form blockquote pre figure hr address fieldset details".split())
 _SELF_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "p": {"td", "th", "table", "article", "div", "section", "main", "body"}}
 
 
+def _outside(token: str) -> bool:
+    """Whether a class or id names a part outside the article: one such word, and none that says it is of something else."""
+    parts = [w.lower() for w in _PARTS.findall(token)]
+    return token.lower() in LIKE_OUTSIDE or not LIKE_OUTSIDE.isdisjoint(parts) and all(w in LIKE_OUTSIDE or w in PLACING or w.isdigit() for w in parts)
+
+
 def _element(tag: str, attributes: str) -> tuple[str, float]:
     """The element's name in a path, and how its purpose weighs on what is in it: 0 outside the article, above 1 inside."""
     names, weight = [], 1.0
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            kind, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        kind, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'"))
+        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            weight = 0.0
+        elif kind in ("class", "id", "role"):
+            if tag not in ("body", "html", *INSIDE) and any(map(_outside, value.split())):
                 weight = 0.0
-            elif kind in ("class", "id", "role"):
-                words = [w.lower() for w in _NAME.findall(value)]
-                if tag not in ("body", "html", "article", "main") and not LIKE_OUTSIDE.isdisjoint(words):
-                    weight = 0.0
-                if kind == "class":
-                    names += words
+            if kind == "class":
+                names += value.lower().split()
     if tag in OUTSIDE:
         weight = 0.0
     elif tag in INSIDE and weight:
-        weight = 8.0
+        weight = 3.0
     return ".".join([tag, *names]), weight
 
 
