@@ -19,23 +19,42 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Passages of public license texts and notices, and their labels.
+# Public license texts and the notices that name them, and their labels.
 TEMPLATES = {
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
-    "warranty-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+    "lgpl-notice": "This library is licensed under the GNU Lesser General Public License",
+    "agpl-notice": "This work is licensed under the GNU Affero General Public License, version 3",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "warranty-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY",
     "cc-by-text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-nc-text": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-sa-text": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc-by-nc-notice": "Licensed under CC BY-NC 4.0",
+    "cc-by-sa-notice": "Licensed under CC BY-SA 4.0",
+}
+# Words that tell a short notice from those of its relatives: it has all of the first, and its block none of the second.
+TELLING = {
+    "apache-2.0-notice": ("apache 2", ""),
+    "gpl-2.0-notice": ("gnu general 2", "lesser affero"),
+    "gpl-3.0-notice": ("gnu general 3", "lesser affero"),
+    "gpl-text": ("gnu general", "lesser affero"),
+    "lgpl-notice": ("gnu lesser", ""),
+    "agpl-notice": ("gnu affero", ""),
+    "cc-by-text": ("creative commons attribution", "noncommercial sharealike noderivatives nc sa nd"),
+    "cc-by-nc-text": ("creative commons noncommercial", ""),
+    "cc-by-sa-text": ("creative commons sharealike", ""),
+    "cc-by-nc-notice": ("cc nc", ""),
+    "cc-by-sa-notice": ("cc sa", ""),
 }
-#: A block is this many words, one beginning at every half of it; a template has no more distinct words than half.
-BLOCK_WORDS = 128
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -43,7 +62,12 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode().lower())
 
 
-def blocks_of(words: list[bytes], size: int = BLOCK_WORDS) -> Iterator[tuple[int, set[bytes]]]:
+def block_size(n_words: int) -> int:
+    """The words of a block for a template of so many words: a power of two, half of it no shorter than the template."""
+    return 2 << max(3, (n_words - 1).bit_length())
+
+
+def blocks_of(words: list[bytes], size: int) -> Iterator[tuple[int, set[bytes]]]:
     """(first word, word set) of overlapping blocks; any run of size / 2 + 1 words at most lies within one."""
     half = size // 2
     for i in range(0, max(1, len(words) - half), half):
@@ -60,10 +84,11 @@ class Join:
 
     order: every template word's place, the rarest first. A template of n words
     of which o are needed shares one of its n - o + 1 rarest with each block that
-    contains enough of it, so only those are indexed.
+    contains enough of it, so only those are indexed, and only blocks around a
+    document's prefix words are looked at.
     """
 
-    def __init__(self, templates: dict[str, list[bytes]], order: dict[bytes, int], percent: int):
+    def __init__(self, templates: dict[str, list[bytes]], order: dict[bytes, int], percent: int, telling: dict[str, tuple[str, str]] = TELLING):
         self.order = order
         self.sets = []
         self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
@@ -72,30 +97,39 @@ class Join:
             need = needed(len(ranked), percent)
             for i, w in enumerate(ranked[: len(ranked) - need + 1]):
                 self.prefixes.setdefault(w, []).append((len(self.sets), i))
-            self.sets.append((label, frozenset(ranked), len(ranked), need))
+            has, lacks = (frozenset(words_of(x)) for x in telling.get(label, ("", "")))
+            self.sets.append((label, frozenset(ranked), len(ranked), need, block_size(len(words)), has, lacks))
 
-    def matches(self, block: set[bytes]) -> Iterator[tuple[str, int, int]]:
-        """(label, words shared, words of the template) of every template that the block contains enough of."""
-        hits = self.prefixes.keys() & block
+    def matches(self, words: list[bytes]) -> Iterator[tuple[str, int, int, int]]:
+        """(label, first word, words shared, words of the template) of every block of a text that contains enough of a template."""
+        hits = self.prefixes.keys() & set(words)
         if not hits:
             return
-        own = sorted(block & self.order.keys(), key=self.order.__getitem__)
-        place = {w: j for j, w in enumerate(own)}
-        seen: set[int] = set()
+        places: dict[bytes, list[int]] = {w: [] for w in hits}
+        for i, w in enumerate(words):
+            if w in places:
+                places[w].append(i)
+        looked: set[tuple[int, int]] = set()
+        sets: dict[tuple[int, int], tuple[set[bytes], dict[bytes, int]]] = {}
         for w in sorted(hits, key=self.order.__getitem__):
             for t, i in self.prefixes[w]:
-                if t in seen:
-                    continue
-                label, words, n, need = self.sets[t]
-                if len(own) < need:  # length filter
-                    continue
-                # positional filter: what was passed, this word, and what is left on the shorter side
-                if min(i, place[w]) + 1 + min(n - i, len(own) - place[w]) - 1 < need:
-                    continue
-                seen.add(t)
-                shared = len(words & block)
-                if shared >= need:
-                    yield label, shared, n
+                label, template, n, need, size, has, lacks = self.sets[t]
+                half = size // 2
+                last = (max(1, len(words) - half) - 1) // half  # the last block of blocks_of()
+                for b in sorted({b for p in places[w] for b in (p // half - 1, p // half) if 0 <= b <= last}):
+                    if (t, b) in looked:
+                        continue
+                    if (size, b) not in sets:
+                        block = set(words[b * half : b * half + size])
+                        sets[size, b] = block, {x: j for j, x in enumerate(sorted(block & self.order.keys(), key=self.order.__getitem__))}
+                    block, place = sets[size, b]
+                    # length filter; positional filter: what was passed, this word, and what is left on the shorter side
+                    if len(place) < need or min(i, place[w]) + 1 + min(n - i, len(place) - place[w]) - 1 < need:
+                        continue
+                    looked.add((t, b))
+                    shared = len(template & block)
+                    if shared >= need and has <= block and lacks.isdisjoint(block):
+                        yield label, b * half, shared, n
 
 
 def _places(joined: bytes, phrase: bytes) -> list[int]:
@@ -107,18 +141,15 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
     return found
 
 
-def template_word_counts(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None, block_words: int = BLOCK_WORDS) -> dict[bytes, int]:
-    """How many blocks of all documents have each word of the templates (0 for none): a few hundred counts."""
+def template_word_counts(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None) -> dict[bytes, int]:
+    """How many documents have each word of the templates (0 for none): a few hundred counts."""
     vocabulary = {w for t in (templates or TEMPLATES).values() for w in words_of(t)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                ws = words_of(t)
-                if not vocabulary.isdisjoint(ws):
-                    for _, block in blocks_of(ws, block_words):
-                        counts.update(block & vocabulary)
+                counts.update(vocabulary.intersection(words_of(t)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
 
     sums = docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -132,10 +163,12 @@ SCHEMA = (
 )
 
 
-def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: dict[str, str] | None = None, percent: int = 80, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", templates: dict[str, str] | None = None, percent: int = 80) -> DataFrame:
     """Per document: its words, the places of license phrases, and every (block, template) pair of enough containment.
 
-    Exact: |block & template| * 100 >= percent * |template|, over distinct words.
+    Exact: |block & template| * 100 >= percent * |template|, over distinct words;
+    a template's blocks are two to four times its length (block_size()), and short
+    notices also need the words that tell them from their relatives (TELLING).
     labels has those of the phrases and of the templates; score is the largest
     containment of a template that was found, 1 with a phrase, else 0. matches
     lists each pair. A null or empty text has no words, nulls for places, empty
@@ -143,9 +176,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", temp
     """
     templates = templates or TEMPLATES
     split = {label: words_of(t) for label, t in templates.items()}
-    if any(len(set(w)) > block_words // 2 or not w for w in split.values()):
-        raise ValueError("a template must have words, and at most half a block of them")
-    counts = template_word_counts(docs, text, templates, block_words)
+    if not all(split.values()):
+        raise ValueError("a template must have words")
+    counts = template_word_counts(docs, text, templates)
     order = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
     phrases = [(b" " + p.encode() + b" ", label) for p, label in PHRASES.items()]
 
@@ -161,10 +194,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", temp
                     if found := _places(joined, phrase):
                         places += found
                         base.add(label)
-                matches = []
-                if not join.prefixes.keys().isdisjoint(words):
-                    for i, block in blocks_of(words, block_words):
-                        matches += [{"label": label, "first_word": i, "shared": s, "needed": needed(n, percent), "size": n} for label, s, n in join.matches(block)]
+                matches = [{"label": label, "first_word": i, "shared": s, "needed": needed(n, percent), "size": n} for label, i, s, n in join.matches(words)]
                 score = 1.0 if base else max((m["shared"] / m["size"] for m in matches), default=0.0)
                 rows.append((
                     doc, len(words), len(places), min(places, default=None), max(places, default=None),
