@@ -15,7 +15,9 @@ from panelforge.llm.shared import materialize
 
 WINDOW = 1024
 #: Tokens of an index shard, which one task holds: 4 bytes each, and about as much again for its postings.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
+#: Texts that are tokenised at a time.
+TEXTS = 500
 #: Neighbours that are sorted at a time.
 SORTED = 64
 #: A term that one in so many documents has gets a weight for each document instead of postings.
@@ -43,22 +45,39 @@ def encoder(tokenizer_json: str, ranks_file: str | None = None):
     return lambda texts: [slow.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
 
 
+def routes(n: int = 2, seed: int = 7) -> np.ndarray:
+    """n weights of every id: a document is routed by the least ones of its ids.
+
+    The least of exponential draws over weights falls on an id with a chance by its
+    weight, and on the same id in two documents by the weight that they share. Ids
+    of byte pairs rise as the pairs get rarer, so their logarithm tells rare ids.
+    """
+    draws = np.random.default_rng(seed).exponential(size=(n, 1 << 16))
+    return draws / np.log(2 + np.arange(1 << 16)) ** 3
+
+
 def tokenised(docs: DataFrame, tokenizer_json: str, ranks_file: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, place, n, ids): ids as little-endian uint16 with a final 0; place spreads rows evenly, those of one doc_id too."""
+    """(doc_id, place, n, route, then, ids): ids as little-endian uint16 with a final 0, place the row's number, route and then the ids that say where it is indexed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_json, ranks_file)
+        encode, weights = encoder(tokenizer_json, ranks_file), routes()
         part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            coded = [np.array([*ids, 0], "<u2") for ids in encode([t or "" for t in batch.column(1).to_pylist()])]
-            places = [(part << 33) + row + i for i in range(len(coded))]
-            row += len(coded)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(places, pa.int64()), pa.array([len(c) for c in coded], pa.int32()), pa.array([c.tobytes() for c in coded], pa.binary())],
-                ["doc_id", "place", "n", "ids"],
-            )
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, place long, n int, ids binary")
+        for whole in batches:
+            for first in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(first, TEXTS)
+                coded = [np.array([*ids, 0], "<u2") for ids in encode([t or "" for t in batch.column(1).to_pylist()])]
+                places = [(part << 33) + row + i for i in range(len(coded))]
+                row += len(coded)
+                least = np.array([c[w[c].argmin()] for c in coded for w in weights], np.int32).reshape(-1, len(weights))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0), pa.array(places, pa.int64()), pa.array([len(c) for c in coded], pa.int32()),
+                        pa.array(least[:, 0]), pa.array(least[:, 1]), pa.array([c.tobytes() for c in coded], pa.binary()),
+                    ],
+                    ["doc_id", "place", "n", "route", "then", "ids"],
+                )
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, place long, n int, route int, then int, ids binary")
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -163,8 +182,10 @@ def fill_windows(sizes: list[int], index: Shard, window: int = WINDOW) -> Iterat
 def pack(docs: DataFrame, tokenizer_json: str, ranks_file: str | None = None, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """A row for each piece of each document's tokens (its ids and a final 0): PIECES.
 
-    Documents are dealt evenly over index shards of about SHARD_TOKENS tokens;
-    each shard's windows are filled by themselves, so all but one of a shard are
+    Documents are in index shards of about SHARD_TOKENS tokens, in ranges of
+    (route, then, place): those that share rare ids tend to one shard, whatever the
+    number of shards, and a group of copies too large for one is split by place.
+    Each shard's windows are filled by themselves, so all but one of a shard are
     full. Null and empty texts are the one id 0; repeated rows are documents of
     their own. ids_crc32 is that of the ids as little-endian uint32.
     """
@@ -175,17 +196,17 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks_file: str | None = None, te
     shards = max(1, -(-total // SHARD_TOKENS))
     stats = docs.sparkSession.sparkContext.broadcast(idf)
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("place")
-        own = [np.frombuffer(x, "<u2") for x in group.column("ids").to_pylist()]
-        doc_ids = group.column("doc_id").to_pylist()
-        shard = group.column("shard")[0].as_py()
-        rows = [
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("place", "doc_id", "ids")))]  # some SHARD_TOKENS of 2 bytes
+        rows.sort(key=lambda r: r[0])
+        own, doc_ids = [np.frombuffer(r[2], "<u2") for r in rows], [r[1] for r in rows]
+        shard = TaskContext.get().partitionId()
+        pieces = [
             (doc_ids[d], start, length, zlib.crc32(own[d][start : start + length].astype("<u4").tobytes()), len(own[d]), (shard << 32) + seq, offset)
             for d, start, length, seq, offset in fill_windows([len(x) for x in own], Shard(own, stats.value, mean), window)
         ]
         names = [f.split()[0] for f in PIECES.split(", ")]
-        return pa.table({c: pa.array(list(v), pa.int64()) for c, v in zip(names, zip(*rows))})
+        for first in range(0, len(pieces), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int64()) for v in zip(*pieces[first : first + 10_000])], names)
 
-    placed = tokens.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)).cast("long"))
-    return placed.groupBy("shard").applyInArrow(run, PIECES)
+    return tokens.select("route", "then", "place", "doc_id", "ids").repartitionByRange(shards, "route", "then", "place").mapInArrow(run, PIECES)
