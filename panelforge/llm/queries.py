@@ -14,7 +14,7 @@ from panelforge.llm.line_dedup import line_report
 from panelforge.llm.ngram_join import jaccard_groups
 from panelforge.llm.packing import pack
 from panelforge.llm.quality import QUALITY_SQL, quality_verdicts
-from panelforge.llm.sentencepiece_dropout import sp_decode, sp_encode
+from panelforge.llm.sentencepiece_dropout import sp_encode
 from panelforge.llm.shared import materialize, table
 from panelforge.llm.sharding import range_shards
 from panelforge.llm.toxicity import learn, score_documents
@@ -31,8 +31,8 @@ def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents encoded with merge-dropout and decoded again: ids, their checksum, and whether the text came back."""
     model = model_path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = sp_decode(sp_encode(docs, model, dropout=0.1, seed=1), model)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.col("text")).alias("lossless"))
+    coded = sp_encode(docs, model, dropout=0.1, seed=1, keep=["doc_id"], lossless="lossless")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "lossless")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

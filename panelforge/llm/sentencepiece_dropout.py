@@ -5,11 +5,13 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -18,10 +20,10 @@ from panelforge.llm.shingles import mix
 #: A segment starts with its spaces: no piece has a space after another character.
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _MARK = "▁"
-#: Segments whose merges without dropout are kept.
-CACHE = 80_000
-#: Occurrences merged side by side.
-ROWS = 20_000
+#: Segments whose merges without dropout are kept; beyond that, those of the latest texts stay.
+CACHE = 200_000
+#: Occurrences merged side by side, and characters of texts that are encoded at a time.
+ROWS, TEXTS = 20_000, 1_200_000
 _NO_PIECE = 1 << 24
 _ODD = 0x9E3779B1, 0x85EBCA6B
 
@@ -180,8 +182,8 @@ class Encoder:
             left, keys, at = left[go], keys[go], (at[go] + 1) & ((1 << self.bits) - 1)
         return ranks, ids
 
-    def _many(self, segments: list[str], which: np.ndarray, keys: np.ndarray | None, path: list | None = None) -> list[bytes]:
-        """Segmentations of occurrences of segments of one length: the agendas of all run side by side, a step of each at a time.
+    def _many(self, segments: list[str], which: np.ndarray, keys: np.ndarray | None, path: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, one occurrence after the other, and how many each has, of occurrences of segments of one length: the agendas of all run side by side, a step of each at a time.
 
         which: the segment of each occurrence. keys: their dropout keys; without, nothing
         is skipped. path gets (occurrences, what the merge adds to a key) of each step.
@@ -208,7 +210,7 @@ class Encoder:
         if skip is not None:
             with np.errstate(over="ignore"):
                 first[skip[(keys[:, None] + adds(first, np.arange(size - 1)) >> np.uint64(8)) & np.uint64(0xFFFF)]] = self.none
-        ids, odd = ids[which], odd[which]
+        ids = ids[which]
         ranks, merged = np.full((n, size), self.none, np.int32), np.empty((n, size), np.int32)
         ranks[:, :-1], merged[:, :-1] = first, into
         after = np.tile(np.arange(1, size + 1, dtype=np.int32), (n, 1))
@@ -235,15 +237,17 @@ class Encoder:
             more = h >= 0
             candidates(row[more], h[more], i[more])
         alive = ids >= 0
-        flat = ids[alive].astype("<i4").tobytes()
-        ends = [0, *np.cumsum(alive.sum(1) * 4).tolist()]
-        out = [flat[a:b] for a, b in zip(ends, ends[1:])]
-        for i in np.flatnonzero(odd.any(1)).tolist():
-            own: list[int] = []
-            for x in ids[i, alive[i]].tolist():
-                own += [x] if x < _NO_PIECE else [self.byte_ids[b] for b in chr(x - _NO_PIECE).encode()]
-            out[i] = array("i", own).tobytes()
-        return out
+        flat, sizes = ids[alive], alive.sum(1)
+        odd = flat >= _NO_PIECE
+        if odd.any():  # characters without a piece become bytes
+            raw = [chr(i - _NO_PIECE).encode() for i in flat[odd].tolist()]
+            width = np.ones(len(flat), np.int64)
+            width[odd] = [len(x) for x in raw]
+            owner = np.repeat(np.arange(n), sizes)
+            flat, odd = np.repeat(flat, width), np.repeat(odd, width)
+            flat[odd] = [self.byte_ids[b] for x in raw for b in x]
+            sizes = np.bincount(owner, weights=width, minlength=n).astype(np.int64)
+        return flat.astype("<i4"), sizes
 
     def _learn(self, wanted: list[str]) -> None:
         """Put segments of 2 to 32 characters into the cache."""
@@ -255,20 +259,26 @@ class Encoder:
                 part = some[first : first + ROWS]
                 hashes = self._hash(np.frombuffer("".join(part).encode("utf-32-le"), "<u4").reshape(len(part), size)).tolist()
                 path: list[tuple[np.ndarray, np.ndarray]] = []
-                plain = self._many(part, np.arange(len(part)), None, path)
+                flat, sizes = self._many(part, np.arange(len(part)), None, path)
+                plain, own = flat.tobytes(), [0, *np.cumsum(sizes * 4).tolist()]
                 row = np.concatenate([x[0] for x in path]) if path else np.zeros(0, np.int64)
                 order = np.argsort(row, kind="stable")
                 steps = (np.concatenate([x[1] for x in path])[order] if path else np.zeros(0, np.uint64)).tobytes()
                 ends = [0, *np.cumsum(np.bincount(row, minlength=len(part)) * 8).tolist()]
-                for s, h, a, b, p in zip(part, hashes, ends, ends[1:], plain):
-                    self.cache[s] = h, steps[a:b], p
+                for s, h, a, b, c, d in zip(part, hashes, ends, ends[1:], own, own[1:]):
+                    self.cache[s] = h, steps[a:b], plain[c:d]
 
     def encode(self, text: str, key: int = 0) -> bytes:
         """The ids as little-endian int32. key: of the document, for the dropout."""
         return self.encode_many([text], [key])[0]
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """encode() of each text.
+        """encode() of each text."""
+        flat, ends = self.encode_flat(texts, keys)
+        return [flat[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def encode_flat(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's end.
 
         Every occurrence of a segment has draws of its own, by seed, document, place
         and segment. If none of them skips a merge of the segment's way without
@@ -279,32 +289,44 @@ class Encoder:
             self.skips = None if self.skip is None else np.array(self.skip)
         cache = self.cache
         split = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
-        number: dict[str, int] = {}
-        which = np.array([number.setdefault(s, len(number)) for segments in split for s in segments], np.int64)
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        which = np.array([number[s] for segments in split for s in segments], np.int64)
         distinct = list(number)
         if len(cache) > CACHE:
-            cache.clear()
+            cache = self.cache = {s: cache[s] for s in distinct if s in cache}
         self._learn([s for s in distinct if s not in cache and 2 <= len(s) <= 32])
         own = [cache.get(s) for s in distinct]
-        ids = [b"" if x is None else x[2] for x in own]
-        if self.skips is None:
-            for k, x in enumerate(own):
-                if x is None:
-                    ids[k] = self._segment(distinct[k], 0)
-            coded = [ids[k] for k in which.tolist()]
-        else:
-            coded = self._dropped(distinct, own, which, np.concatenate([self._places(k, len(s)) for k, s in zip(keys, split)] or [np.zeros(0, np.uint64)]), ids)
-        ends = [0, *np.cumsum([len(s) for s in split]).tolist()]
-        return [b"".join(coded[a:b]) for a, b in zip(ends, ends[1:])]
-
-    def _dropped(self, distinct: list[str], own: list[tuple[int, bytes, bytes] | None], which: np.ndarray, keys: np.ndarray, ids: list[bytes]) -> list[bytes]:
-        """Ids of each occurrence: which of the distinct segments it is, and the key of its place."""
+        plain = [x[2] if x else self._segment(s, 0) if self.skips is None else b"" for x, s in zip(own, distinct)]
+        anew: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if self.skips is not None:
+            anew = self._dropped(distinct, own, which, np.concatenate([self._places(k, len(s)) for k, s in zip(keys, split)] or [np.zeros(0, np.uint64)]))
+        sizes = np.array([len(x) // 4 for x in plain], np.int64)
+        first = np.cumsum(sizes) - sizes
+        count, old = sizes[which], np.ones(len(which), bool)
+        for which_ones, _, lengths in anew:
+            count[which_ones], old[which_ones] = lengths, False
+        to = np.cumsum(count)
+        out = np.empty(int(to[-1]) if len(to) else 0, "<i4")
+
+        def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+            """The places start, start + 1, ... of each, one after the other."""
+            return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+        kept = count[old]
+        out[spread((to - count)[old], kept)] = np.frombuffer(b"".join(plain), "<i4")[spread(first[which[old]], kept)]
+        for which_ones, flat, lengths in anew:
+            out[spread((to - count)[which_ones], lengths)] = flat
+        last = np.cumsum([len(s) for s in split])
+        return out, np.concatenate([[0], to])[last] if len(split) else np.zeros(0, np.int64)
+
+    def _dropped(self, distinct: list[str], own: list[tuple[int, bytes, bytes] | None], which: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(occurrences, ids, how many each has) of those that are not as without dropout. which: of the distinct segments; keys: of the places."""
         hashes = np.array([0 if x is None else x[0] for x in own], np.uint64)
         for k, x in enumerate(own):
             if x is None:
                 hashes[k] = self._hash(np.frombuffer(distinct[k].encode("utf-32-le"), "<u4").reshape(1, -1))[0]
         keys = mix(keys ^ hashes[which])
-        coded = [ids[k] for k in which.tolist()]
         adds = np.frombuffer(b"".join(b"" if x is None else x[1] for x in own), np.uint64)
         steps = np.array([0 if x is None else len(x[1]) // 8 for x in own], np.int64)
         starts = np.cumsum(steps) - steps
@@ -320,17 +342,18 @@ class Encoder:
             again.append(first + np.flatnonzero(so_far[ends] > so_far[ends - steps[k]]))
         touched = np.concatenate(again) if again else np.zeros(0, np.int64)
         size_of = lengths[which[touched]]
+        out = []
         for size in np.unique(size_of).tolist():
             some = touched[size_of == size]
             for first in range(0, len(some), ROWS):
                 part = some[first : first + ROWS]
                 named, at = np.unique(which[part], return_inverse=True)
-                for i, x in zip(part.tolist(), self._many([distinct[k] for k in named.tolist()], at, keys[part])):
-                    coded[i] = x
-        rare = np.array([x is None for x in own], bool)
-        for i in np.flatnonzero(rare[which]).tolist():
-            coded[i] = self._segment(distinct[which[i]], int(keys[i]))
-        return coded
+                out.append((part, *self._many([distinct[k] for k in named.tolist()], at, keys[part])))
+        rare = np.flatnonzero(np.array([x is None for x in own], bool)[which])
+        if len(rare):
+            coded = [np.frombuffer(self._segment(distinct[which[i]], int(keys[i])), "<i4") for i in rare.tolist()]
+            out.append((rare, np.concatenate(coded), np.array([len(c) for c in coded])))
+        return out
 
 
 class Decoder:
@@ -366,32 +389,35 @@ def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema if f.name not in names] + list(fields))
 
 
-def sp_encode(df: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, text: str = "text", key: str = "doc_id", ids: str = "ids") -> DataFrame:
+def sp_encode(
+    df: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, text: str = "text", key: str = "doc_id", ids: str = "ids", keep: list[str] | None = None, lossless: str | None = None
+) -> DataFrame:
     """df with an array<int> column of piece ids.
 
     Equal (seed, key, text) give equal ids, on whatever machine and partition; a
     null key counts as 0, a null text has null ids, an empty one none. Rows and
-    other columns stay; a column with the name of `ids` is replaced.
+    other columns stay (those of `keep`, if given); a column with the name of `ids`
+    is replaced. lossless: a column that says whether the ids decode to the text.
     """
-    schema = _with(df.schema, T.StructField(ids, T.ArrayType(T.IntegerType())))
+    own = df.schema if keep is None else T.StructType([df.schema[c] for c in keep])
+    schema = _with(own, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(lossless, T.BooleanType())] if lossless else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model_file, dropout, seed)
+        encoder, decoder = _encoder(model_file, dropout, seed), _decoder(model_file)
         for batch in batches:
-            texts, keys = batch.column(text).to_pylist(), [int(k or 0) for k in batch.column(key).to_pylist()]
-            coded: list[bytes | None] = []
-            while len(coded) < len(texts):  # some texts at a time, by their length
-                first, chars = len(coded), 0
-                last = first
-                while last < len(texts) and chars < 1_200_000:
-                    chars, last = chars + len(texts[last] or ""), last + 1
-                got = encoder.encode_many([t or "" for t in texts[first:last]], keys[first:last])
-                coded += [None if t is None else c for t, c in zip(texts[first:last], got)]
-            offsets = np.zeros(len(coded) + 1, np.int32)
-            np.cumsum([len(c or b"") // 4 for c in coded], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(c or b"" for c in coded), "<i4"))
-            column = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([c is None for c in coded], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([column if n == ids else batch.column(n) for n in schema.names], schema.names)
+            chars = np.concatenate([[0], np.cumsum(pc.utf8_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            first = 0
+            while first < batch.num_rows:  # some texts at a time, by their length
+                last = max(first + 1, int(np.searchsorted(chars, chars[first] + TEXTS, "right")) - 1)
+                part = batch.slice(first, last - first)
+                texts, keys = part.column(text).to_pylist(), [int(k or 0) for k in part.column(key).to_pylist()]
+                flat, ends = encoder.encode_flat([t or "" for t in texts], keys)
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                found = {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([t is None for t in texts], pa.bool_()))}
+                if lossless:
+                    found[lossless] = pa.array([None if t is None else decoder.decode(flat[a:b].tolist()) == t for t, a, b in zip(texts, offsets.tolist(), offsets[1:].tolist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([found[n] if n in found else part.column(n) for n in schema.names], schema.names)
+                first = last
 
     return df.mapInArrow(run, schema)
 
