@@ -38,16 +38,17 @@ def linked_groups(
 
     The result is that of verifying every pair of every bucket, with fewer pairs:
     a small bucket gives all of them. In a large one each member is first held
-    against a few pivots, which joins groups of copies; then the members outside
-    the bucket's largest component are held against all that are not in their own
-    component. A pair within a component can't change the components. release: a
-    table of materialize() that only members reads, and that then goes. Tables in
-    between go as soon as the next one is written.
+    against a few pivots, the same ones in all buckets of a group of copies; then
+    the members outside the bucket's largest component against a few of that
+    component, chosen by bucket; and what is still outside then against all that
+    are not in their own component. A pair within a component can't change the
+    components. release: a table of materialize() that only members reads, and
+    that then goes. Tables in between go as soon as the next one is written.
     """
     across = W.partitionBy(bucket)
     ranked = members.select(
         bucket, node, *carry,
-        F.row_number().over(across.orderBy(F.xxhash64(bucket, node), node)).alias("_r"),
+        F.row_number().over(across.orderBy(F.xxhash64(node), node)).alias("_r"),
         F.count("*").over(across).cast("long").alias("_m"),
     ).where("_m > 1")
     ranked = materialize(ranked, "buckets")
@@ -67,27 +68,42 @@ def linked_groups(
 
     strict = first_shared or may_link
     few, many = ranked.where(F.col("_m") <= small), ranked.where(F.col("_m") > small)
-    step = F.floor(F.col("_m") / PIVOTS)
-    pivots = many.where((F.pmod(F.col("_r") - 1, step) == 0) & (F.col("_r") <= step * PIVOTS))
-    # the pivots take the looser condition: each pair that they link spares many of the second pass
-    first = pairs(few, few, "a._r < b._r", strict).union(pairs(pivots, many, f"a.{node} <> b.{node}", may_link)).distinct()
-    first = materialize(first, "pairs")
-    edges = materialize(verify(first), "links")
+    pivots = many.where(F.col("_r") <= PIVOTS)
+    # the pivots take the looser condition: each pair that they link spares many of the later passes
+    tried = [materialize(pairs(few, few, "a._r < b._r", strict).union(pairs(pivots, many, f"a.{node} <> b.{node}", may_link)).distinct(), "pairs")]
+    edges = materialize(verify(tried[0]), "links")
     found = components(edges)
-    hot = materialize(
-        many.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node)), "hot"
-    )
+
+    def split(hot: DataFrame) -> DataFrame:
+        """The members of buckets with more than one component, and the largest of them."""
+        sizes = hot.groupBy(bucket, "component").agg(F.count("*").alias("n"))
+        main = sizes.groupBy(bucket).agg(F.max_by("component", F.struct("n", "component")).alias("_main"), F.count("*").alias("_parts")).where("_parts > 1")
+        return hot.join(main.drop("_parts"), bucket)
+
+    def with_components(df: DataFrame) -> DataFrame:
+        return df.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
+
+    hot = materialize(split(with_components(many)), "hot")
     drop(ranked)
-    sizes = hot.groupBy(bucket, "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy(bucket).agg(F.max_by("component", F.struct("n", "component")).alias("_main"), F.count("*").alias("_parts")).where("_parts > 1")
-    rest = hot.join(main, bucket)
-    second = pairs(
-        rest.where("component <> _main"), rest,
-        f"a.component <> b.component and (b.component = b._main or a.{node} < b.{node})", strict,
-    ).distinct().join(first, ["a", "b"], "left_anti")
-    second = materialize(second, "pairs")
+    for last in (False, True):
+        outside = hot.where("component <> _main")
+        if last:
+            both = pairs(outside, hot, f"a.component <> b.component and (b.component = b._main or a.{node} < b.{node})", strict)
+        else:
+            own = hot.where("component = _main").withColumn("_k", F.row_number().over(across.orderBy(F.xxhash64(bucket, node), node)))
+            both = pairs(outside, own.where(F.col("_k") <= PIVOTS).drop("_k"), "true", may_link)
+        both = both.distinct()
+        for t in tried:
+            both = both.join(t, ["a", "b"], "left_anti")
+        tried.append(materialize(both, "pairs"))
+        more = materialize(verify(tried[-1]), "links")
+        if not more.isEmpty():
+            edges = edges.union(more)
+            found = components(edges)
+            if not last:
+                old, hot = hot, materialize(split(with_components(hot.drop("component", "_main"))), "hot")
+                drop(old)
     drop(hot)
-    drop(first)
-    more = materialize(verify(second), "links")
-    drop(second)
-    return found if more.isEmpty() else components(edges.union(more))
+    for t in tried:
+        drop(t)
+    return found

@@ -208,7 +208,8 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         drop(s)
     labelled = own.join(found, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     labelled = materialize(labelled, "labelled")
-    lowest = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low"))
+    # written, so that the join has an exchange on both sides, and a component with many rows can be split
+    lowest = materialize(labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low")), "lowest")
     return labelled.join(lowest, "component", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
