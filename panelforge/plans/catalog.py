@@ -9,17 +9,19 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.operators import states, statistics
-from panelforge.plans import cleaning, inference, panel, trading
+from panelforge.plans import books, cleaning, inference, kernels, panel, ratios, trading
 
-MODULES = (panel, cleaning, trading, inference)
+MODULES = (panel, cleaning, trading, inference, books, ratios)
+ON_POSITIONS = trading.ON_POSITIONS | books.ON_POSITIONS
+KERNELS = statistics.QUERIES | kernels.QUERIES
 PANELS = {n: t for m in MODULES for n, t in m.PANELS.items()}
 NEEDS = {n: t for m in MODULES for n, t in m.NEEDS.items()}
 SELECTS = {n: t for m in MODULES for n, t in m.SELECTS.items()}
 
-#: The few spellings that differ between the engines: SERIES(n) has rows k = 1..n, PCTL(x, p) is the linear quantile.
+#: The few spellings that differ between the engines: SERIES(n) has rows k = 1..n, PCTL(x, p) is the linear quantile, KEY(a, b) a row that is ordered by a, then b.
 SPELLINGS = {
-    "spark": [(r"SERIES\((\w+)\)", r"(select explode(sequence(1, \1)) as k)"), (r"PCTL\(", "percentile(")],
-    "check": [(r"SERIES\((\w+)\)", r"(select unnest(generate_series(1, \1)) as k)"), (r"PCTL\(", "quantile_cont(")],
+    "spark": [(r"SERIES\((\w+)\)", r"(select explode(sequence(bigint(1), bigint(\1))) as k)"), (r"PCTL\(", "percentile("), (r"KEY\(", "struct(")],
+    "check": [(r"SERIES\((\w+)\)", r"(select unnest(generate_series(1, \1)) as k)"), (r"PCTL\(", "quantile_cont("), (r"KEY\(", "row(")],
 }
 
 
@@ -48,7 +50,14 @@ def _positions(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Queries on positions: scores in SQL, positions by the state machine, the rest in SQL."""
     scores = panel.run_sql(spark, sf_dir, text(["zs"], "select * from zs", "spark"))
     states.pair_positions(scores).createOrReplaceTempView("st")
-    return spark.sql(text(*trading.ON_POSITIONS[name], "spark"))
+    return spark.sql(text(*ON_POSITIONS[name], "spark"))
+
+
+def _on_states(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Queries on the book's states: scores in SQL, states by the state machine, the rest in SQL."""
+    scores = panel.run_sql(spark, sf_dir, text(["score"], "select * from score", "spark"))
+    states.score_states(scores).select("ticker", "d", "state").createOrReplaceTempView("bs")
+    return spark.sql(text(*books.ON_STATES[name], "spark"))
 
 
 def _book_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +66,17 @@ def _book_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kernel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    names, select, kernel = statistics.QUERIES[name]
+    names, select, kernel = KERNELS[name]
     return kernel(panel.run_sql(spark, sf_dir, text(names, select, "spark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(_plain, name=n) for n in SELECTS}
-QUERIES |= {n: partial(_positions, name=n) for n in trading.ON_POSITIONS}
+QUERIES |= {n: partial(_positions, name=n) for n in ON_POSITIONS}
+QUERIES |= {n: partial(_on_states, name=n) for n in books.ON_STATES}
 QUERIES |= {"book_states": _book_states}
-QUERIES |= {n: partial(_kernel, name=n) for n in statistics.QUERIES}
+QUERIES |= {n: partial(_kernel, name=n) for n in KERNELS}
 
 ORACLES: dict[str, str] = {n: text(*SELECTS[n], "check") for n in SELECTS}
-ORACLES |= {n: text(["zs", *more], s, "check", "with recursive", (trading.POSITIONS_CHECK,)) for n, (more, s) in trading.ON_POSITIONS.items()}
+ORACLES |= {n: text(["zs", *more], s, "check", "with recursive", (trading.POSITIONS_CHECK,)) for n, (more, s) in ON_POSITIONS.items()}
+ORACLES |= {n: text(["score", *more], s, "check", "with recursive", (trading.STATES_CHECK,)) for n, (more, s) in books.ON_STATES.items()}
 ORACLES["book_states"] = text(["score"], "select ticker, d, state from bs", "check", "with recursive", (trading.STATES_CHECK,))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 PRIME = 2147483647
+#: Bootstrap draws, and blocks of the cross-validation by combinations.
+DRAWS, SLICES = 5000, 16
 
 
 def mix(seed: str) -> str:
@@ -14,7 +16,7 @@ def mix(seed: str) -> str:
 
 PANELS = {
     "dates": "dates as (select d, row_number() over (order by d) as i, count(*) over () as n from (select distinct d from mon) x)",
-    "seeds": f"seeds as (select s.k as b, i, n, cast((s.k * 1000003 + i * 7919 + 17) % {PRIME} as bigint) as h from dates cross join SERIES(200) s)",
+    "seeds": f"seeds as (select s.k as b, i, n, cast((s.k * 1000003 + i * 7919 + 17) % {PRIME} as bigint) as h from dates cross join SERIES({DRAWS}) s)",
     "u": f"u as (select b, i, n, h1, {mix('h1')} as h2 from (select b, i, n, {mix('h')} as h1 from seeds) q)",
     # the last restart before a row, with its drawn start, in one number
     "pick": f"""pick as (
@@ -25,8 +27,8 @@ PANELS = {
     "boot": "boot as (select strategy, b, avg(r) as mb from pick join ser on ser.i = pick.pos group by strategy, b)",
     "pv": "pv as (select o.strategy, sqrt(o.n * 1e0) * o.m / max(w.om) as t, (1e0 + sum(case when mb - o.m >= o.m then 1 else 0 end)) / (1e0 + count(*)) as p from obs o join boot on boot.strategy = o.strategy join om w on w.strategy = o.strategy group by o.strategy, o.n, o.m)",
     "om": "om as (select boot.strategy, sqrt(max(o.n) * 1e0) * stddev_samp(mb) as om from boot join obs o on o.strategy = boot.strategy group by boot.strategy)",
-    "blk": "blk as (select strategy, cast(floor((i - 1) * 8 / (n * 1e0)) as int) as k, count(*) as c, sum(r) as s1, sum(r * r) as s2 from (select ser.strategy, ser.i, ser.r, x.n from ser cross join (select max(i) as n from ser) x) q group by 1, 2)",
-    "cut": "cut as (select k as mask from SERIES(254) s where bit_count(k) = 4)",
+    "blk": f"blk as (select strategy, cast(floor((i - 1) * {SLICES} / (n * 1e0)) as int) as k, count(*) as c, sum(r) as s1, sum(r * r) as s2 from (select ser.strategy, ser.i, ser.r, x.n from ser cross join (select max(i) as n from ser) x) q group by 1, 2)",
+    "cut": f"cut as (select k as mask from SERIES({2**SLICES - 2}) s where bit_count(k) = {SLICES // 2})",
     "perf": """perf as (
   select strategy, mask, inside, case when c > 2 and s2 / c - s1 / c * s1 / c > 1e-12 then round(s1 / c / sqrt(s2 / c - s1 / c * s1 / c), 9) else 0e0 end as sr from (
     select strategy, mask, case when floor(mask / power(2e0, k)) % 2 = 1 then 1 else 0 end as inside, sum(c) as c, sum(s1) as s1, sum(s2) as s2 from blk cross join cut group by 1, 2, 3) q)""",
@@ -41,9 +43,9 @@ STEP_UP = "least(1e0, min(p * m / k * {0}) over (order by k rows between current
 SELECTS: dict[str, tuple[list[str], str]] = {
     "stationary_bootstrap": (["pick"], "select b, count(*) as n, count(distinct pos) as places, min(pos) as low, max(pos) as high from pick group by b"),
     "bootstrap_ci": (["boot"], "select strategy, round(PCTL(mb, 0.025), 8) as low, round(PCTL(mb, 0.975), 8) as high from boot group by strategy"),
-    "reality_check": (["boot", "obs"], """select round(max(v), 6) as stat, round(avg(case when vb >= v then 1e0 else 0e0 end), 6) as p from (select max(sqrt(n * 1e0) * m) as v from obs) o cross join (
+    "reality_check": (["boot", "obs"], """select round(max(v), 6) as stat, round((1e0 + sum(case when vb >= v then 1 else 0 end)) / (1e0 + count(*)), 6) as p from (select max(sqrt(n * 1e0) * m) as v from obs) o cross join (
   select b, max(sqrt(n * 1e0) * (mb - m)) as vb from boot join obs on obs.strategy = boot.strategy group by b) z"""),
-    "spa_test": (["boot", "obs", "om"], """select round(max(v), 4) as stat, round(avg(case when l >= v then 1e0 else 0e0 end), 6) as p_lower, round(avg(case when c >= v then 1e0 else 0e0 end), 6) as p_consistent, round(avg(case when u >= v then 1e0 else 0e0 end), 6) as p_upper from (
+    "spa_test": (["boot", "obs", "om"], """select round(max(v), 4) as stat, round((1e0 + sum(case when l >= v then 1 else 0 end)) / (1e0 + count(*)), 6) as p_lower, round((1e0 + sum(case when c >= v then 1 else 0 end)) / (1e0 + count(*)), 6) as p_consistent, round((1e0 + sum(case when u >= v then 1 else 0 end)) / (1e0 + count(*)), 6) as p_upper from (
   select greatest(0e0, max(sqrt(n * 1e0) * m / om)) as v from obs join om on om.strategy = obs.strategy) o cross join (
   select b, greatest(0e0, max(q * (mb - greatest(m, 0e0)))) as l, greatest(0e0, max(q * (mb - case when q * m <= -sqrt(2 * ln(ln(n))) then 0e0 else m end))) as c, greatest(0e0, max(q * (mb - m))) as u from (
   select b, mb, m, n, sqrt(n * 1e0) / om as q from boot join obs on obs.strategy = boot.strategy join om on om.strategy = boot.strategy) a group by b) z"""),
@@ -51,11 +53,9 @@ SELECTS: dict[str, tuple[list[str], str]] = {
   select r.strategy, r.k, r.t, max(e.s) over (partition by e.b order by r.k rows between current row and unbounded following) as mx from (select strategy, t, row_number() over (order by t desc, strategy) as k from pv) r join (
   select boot.strategy, b, sqrt(n * 1e0) * (mb - m) / om as s from boot join obs on obs.strategy = boot.strategy join om on om.strategy = boot.strategy) e on e.strategy = r.strategy) a group by strategy, k) z"""),
     "benjamini_hochberg": (["pv"], f"select strategy, round(p, 6) as p, round({STEP_UP.format('1e0')}, 6) as adjusted from {RANKED} q"),
-    "benjamini_yekutieli": (["pv"], f"select strategy, round({STEP_UP.format('h')}, 6) as adjusted from {RANKED} q cross join (select sum(1e0 / k) as h from SERIES(25) s) z"),
+    "benjamini_yekutieli": (["pv"], f"select strategy, round({STEP_UP.format('h')}, 6) as adjusted from {RANKED} q cross join (select sum(1e0 / k) as h from (select row_number() over (order by strategy) as k from pv) s) z"),
     "storey_pi0": (["pv"], "select round(least(1e0, sum(case when p > 0.5 then 1 else 0 end) / (count(*) * 5e-1)), 6) as pi0, cast(sum(case when p <= 0.05 then 1 else 0 end) as bigint) as found, count(*) as m from pv"),
     "p_histogram": (["pv"], "select cast(least(floor(p * 10), 9) as int) as bin, count(*) as n from pv group by 1"),
-    "wilson_interval": (["ser"], """select strategy, round((p + 192e-2 / n - w) / (1 + 384e-2 / n), 6) as low, round((p + 192e-2 / n + w) / (1 + 384e-2 / n), 6) as high from (
-  select strategy, p, n, 196e-2 * sqrt(p * (1 - p) / n + 96e-2 / n / n) as w from (select strategy, avg(case when r > 0 then 1e0 else 0e0 end) as p, count(*) as n from ser group by strategy) a) q"""),
     "sharpe_moments": (["ser", "obs"], """select strategy, n, round(sr, 6) as sr, round(g, 5) as skew, round(k, 5) as kurt, round(sqrt((1 - g * sr + (k - 1) / 4 * sr * sr) / (n - 1)), 6) as se from (
   select o.strategy, o.n, o.m / o.s as sr, avg(power(r - o.m, 3)) / power(avg(power(r - o.m, 2)), 15e-1) as g, avg(power(r - o.m, 4)) / power(avg(power(r - o.m, 2)), 2) as k from ser join obs o on o.strategy = ser.strategy where o.s > 0 group by o.strategy, o.n, o.m, o.s) q"""),
     "effective_trials": (["ser"], """select count(distinct a) as n, round(count(distinct a) * count(distinct a) / sum(rho * rho), 4) as participation from (

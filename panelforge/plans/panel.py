@@ -9,13 +9,11 @@ TABLES = ("lineitem", "part", "orders", "events")
 # Panels that the queries build on, as common table expressions.
 PANELS = {
     "px": """px as (
-  select p_brand as ticker, cast(date_trunc('week', l_shipdate) as date) as d, l_extendedprice / l_quantity as price, l_quantity, l_discount,
-    row_number() over (partition by p_brand, date_trunc('week', l_shipdate) order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) as i,
-    row_number() over (partition by p_brand, date_trunc('week', l_shipdate) order by l_shipdate desc, l_orderkey desc, l_linenumber desc, l_partkey desc, l_suppkey desc) as j
-  from lineitem join part on l_partkey = p_partkey)""",
+  select p_brand as ticker, cast(date_trunc('week', l_shipdate) as date) as d, l_extendedprice / l_quantity as price, l_quantity, l_discount, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem join part on l_partkey = p_partkey)""",
+    # the first and last price are found before the shuffle, a row for each task and group
     "bar": """bar as (
-  select ticker, d, max(case when i = 1 then price end) as open, max(price) as high, min(price) as low, max(case when j = 1 then price end) as close, sum(l_quantity) as volume
-  from px group by ticker, d)""",
+  select ticker, d, min_by(price, KEY(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)) as open, max(price) as high, min(price) as low,
+    max_by(price, KEY(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey)) as close, sum(l_quantity) as volume from px group by ticker, d)""",
     "walk": """walk as (
   select ticker, d, r, volume, row_number() over (partition by ticker order by d) as i, 100 * exp(sum(ln(1 + r)) over (partition by ticker order by d rows between unbounded preceding and current row)) as close
   from (select ticker, d, avg(l_discount) - 0.05 as r, sum(l_quantity) as volume from px group by ticker, d) w)""",
@@ -31,7 +29,7 @@ W20 = "over (partition by ticker order by d rows between 19 preceding and curren
 
 # name: (panels, select)
 SELECTS: dict[str, tuple[list[str], str]] = {
-    "bars": (["bar"], "select ticker, d, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, volume from bar"),
+    "bars": (["bar"], "select ticker, d, round(open, 7) as open, round(high, 7) as high, round(low, 7) as low, round(close, 7) as close, volume from bar"),
     "walk": (["walk"], "select ticker, d, round(r, 8) as r, round(close, 6) as close, volume from walk"),
     "coverage": (["spine"], "select ticker, count(*) as sessions, count(close) as observed, round(avg(case when close is null then 0e0 else 1e0 end), 6) as coverage from spine group by ticker"),
     "missing_sessions": (["spine"], "select ticker, d from spine where close is null"),
@@ -39,7 +37,7 @@ SELECTS: dict[str, tuple[list[str], str]] = {
   select ticker, seq - row_number() over (partition by ticker order by seq) as g from spine where close is null) q group by ticker, g) z group by ticker"""),
     "consecutive_returns": (["spine"], """select ticker, d, round(close / prev - 1, 10) + 0e0 as ret from (
   select ticker, d, close, lag(close) over (partition by ticker order by seq) as prev from spine) q where close is not null and prev is not null"""),
-    "ohlc_audit": (["bar"], "select ticker, count(*) as n, sum(case when high < greatest(open, close) or low > least(open, close) then 1 else 0 end) as broken, sum(case when volume = 0 then 1 else 0 end) as no_volume from bar group by ticker"),
+    "ohlc_audit": (["clean"], "select ticker, count(*) as n, cast(sum(case when high < close or low > close then 1 else 0 end) as bigint) as broken, cast(sum(case when volume is null or volume = 0 then 1 else 0 end) as bigint) as no_volume from clean group by ticker"),
     "extreme_moves": (["bar"], """select ticker, d, round(lr, 6) as log_return from (select ticker, d, ln(close / lag(close) over (partition by ticker order by d)) as lr from bar) q where abs(lr) > 2"""),
     "rolling_mean_std": (["walk"], f"""select ticker, d, case when count(close) {W20} >= 20 then round(avg(close) {W20}, 6) end as mean20, case when count(close) {W20} >= 20 then round(stddev_samp(close) {W20}, 6) end as std20 from walk"""),
     "zscore": (["walk"], f"""select ticker, d, case when n >= 20 and s > 0 then round((close - m) / s, 5) end as z from (
@@ -72,14 +70,15 @@ SELECTS: dict[str, tuple[list[str], str]] = {
   select w.ticker, w.d, x.v from (select ticker, d, lag(d) over (partition by ticker order by d) as prev from walk) w
   join (select t.ticker, q.ex, 5e-1 as v from (select distinct ticker from walk) t cross join (select distinct cast(date_trunc('quarter', d) as date) as ex from walk) q) x
   on x.ticker = w.ticker and x.ex <= w.d and (w.prev is null or x.ex > w.prev)) z group by ticker, d"""),
-    "half_spread_tiers": (["walk"], """select ticker, d, adv, case when adv >= 3000 then 1e0 when adv >= 1500 then 15e-1 when adv >= 500 then 25e-1 when adv >= 0 then 5e0 end as half_spread_bps from (
-  select ticker, d, case when count(*) over (partition by ticker order by d rows between 20 preceding and 1 preceding) >= 10 then round(avg(volume) over (partition by ticker order by d rows between 20 preceding and 1 preceding), 6) end as adv from walk) q"""),
-    "market_regimes": (["walk"], """select d, n, round(dispersion, 6) as dispersion, round(lag(dispersion) over (order by d), 6) as known from (select d, count(*) as n, stddev_samp(r) as dispersion from walk group by d) q"""),
-    "participation": (["walk"], "select ticker, round(percentile_cont(0.5) within group (order by volume), 6) as median_volume, round(percentile_cont(0.9) within group (order by volume), 6) as p90_volume from walk group by ticker"),
-    "monthly_strategies": (["mon"], "select strategy, count(*) as n, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12.0), 5) as sharpe, round(skewness_free, 5) as mean_bps from (select strategy, r, avg(r) over (partition by strategy) * 10000 as skewness_free from mon) q group by strategy, skewness_free"),
+    # a regime is known the session before: above or below the median of all dispersions so far
+    "market_regimes": (["walk"], """select d, n, dispersion, case when k > 60 then case when known > med then 'high' else 'low' end end as regime from (
+  select d, n, dispersion, lag(dispersion) over (order by d) as known, row_number() over (order by d) as k, PCTL(dispersion, 0.5) over (order by d rows between unbounded preceding and 1 preceding) as med from (
+    select d, count(*) as n, round(stddev_samp(r), 7) as dispersion from walk group by d) q) z"""),
+    "participation": (["market"], "select ticker, round(PCTL(share, 0.5), 7) as median_share, round(PCTL(share, 0.95), 7) as p95_share, round(avg(case when share > 1e-1 then 1e0 else 0e0 end), 6) as breach_share from (select ticker, 1e4 / adv as share from market where adv > 0) q group by ticker"),
+    "monthly_strategies": (["mon"], "select strategy, count(*) as n, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(12.0), 5) as sharpe, round(avg(r) * 10000, 5) as mean_bps from mon group by strategy"),
     "empirical_p_values": (["mon"], """select a.strategy, round((1e0 + sum(case when b.m >= a.m then 1 else 0 end)) / (1e0 + count(*)), 6) as p from
   (select strategy, avg(r) as m from mon group by strategy) a join (select strategy, avg(r) as m from mon group by strategy) b on a.strategy <> b.strategy group by a.strategy"""),
-    "episodes": (["walk"], """select ticker, up, count(*) as runs, max(n) as longest from (select ticker, up, g, count(*) as n from (
+    "episodes": (["walk"], """select ticker, up, count(*) as runs, round(PCTL(n, 0.5), 4) as middle, max(n) as longest from (select ticker, up, g, count(*) as n from (
   select ticker, up, i - row_number() over (partition by ticker, up order by i) as g from (select ticker, i, case when r > 0 then 1 else 0 end as up from walk) a) b group by ticker, up, g) c group by ticker, up"""),
     "hourly_events": ([], "select event_type, date_trunc('hour', ts) as h, count(*) as n, round(avg(value), 6) as mean_value, round(min(value), 6) as low, round(max(value), 6) as high from events group by 1, 2"),
 }

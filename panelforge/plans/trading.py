@@ -51,23 +51,17 @@ br as (
       from br q join score n on n.ticker = q.ticker and n.i = q.i + 1) a) c),
 bs as (select br.ticker, d, case when i = m then 0 else state end as state from br join last on last.ticker = br.ticker)"""
 
-PNL = """(select y, x, d, i, pos, reason, z, coalesce(lag(pos) over w * (ry - beta * rx), 0e0) as pnl,
-  abs(pos - coalesce(lag(pos) over w, 0)) * (1 + abs(beta)) as trade from st window w as (partition by y, x order by i))"""
+PNL = """(select y, x, i, coalesce(lag(pos) over w * (ry - beta * rx), 0e0) as pnl from st window w as (partition by y, x order by i))"""
 
 # name: (more panels, select over st)
 ON_POSITIONS: dict[str, tuple[list[str], str]] = {
     "pair_positions": ([], "select y, x, d, z, pos, reason from st"),
-    "pair_pnl": ([], f"select y, x, d, pos, round(pnl, 8) + 0e0 as pnl, round(trade, 6) + 0e0 as trade from {PNL} p"),
     "pair_trades": ([], f"""select t.y, t.x, t.d as entry, e.d as leave, t.pos as direction, coalesce(e.reason, 5) as reason, cast(coalesce(e.i, t.n) - t.i as int) as bars, round(t.z, 5) as entry_z, round(sum(p.pnl), 7) + 0e0 as pnl
   from (select *, lead(i) over (partition by y, x order by i) as nxt from (select y, x, d, i, z, pos, lag(pos, 1, 0) over w as old, max(i) over (partition by y, x) as n from st window w as (partition by y, x order by i)) a where pos <> old) t
   left join st e on e.y = t.y and e.x = t.x and e.i = t.nxt and e.pos <> t.pos
   left join {PNL} p on p.y = t.y and p.x = t.x and p.i > t.i and p.i <= coalesce(e.i, t.n) where t.pos <> 0
   group by t.y, t.x, t.d, e.d, t.pos, e.reason, e.i, t.n, t.i, t.z"""),
-    "pair_portfolio": ([], f"select d, cast(sum(abs(pos)) as int) as n_open, round(sum(pnl) / 20, 8) + 0e0 as pnl, round(sum(trade) / 20, 6) + 0e0 as trade from {PNL} p group by d"),
     "exit_reasons": ([], "select reason, count(*) as n from st where reason > 0 group by reason"),
-    "pair_costs": (["market"], f"""select p.y, p.x, p.d, round(p.trade * (my.half + mx.half) / 2, 9) + 0e0 as spread_cost, round(p.trade * my.sigma * sqrt(p.trade * 1e4 / my.adv), 9) + 0e0 as impact, round(p.trade * 1e4 / my.adv, 8) + 0e0 as participation
-  from {PNL} p join (select ticker, d, adv, sigma, case when adv >= 3e5 then 1e-4 when adv >= 15e4 then 15e-5 else 25e-5 end as half from market where adv > 0) my on my.ticker = p.y and my.d = p.d
-  join (select ticker, d, case when adv >= 3e5 then 1e-4 when adv >= 15e4 then 15e-5 else 25e-5 end as half from market where adv > 0) mx on mx.ticker = p.x and mx.d = p.d where p.trade > 0"""),
 }
 
 SELECTS: dict[str, tuple[list[str], str]] = {
@@ -100,7 +94,6 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "neutral_book": (["score"], "select ticker, d, round(w - avg(w) over (partition by d), 8) + 0e0 as w from (select ticker, d, case when z > 1.25 then -1e0 when z < -1.25 then 1e0 else 0e0 end as w from score where z is not null) q"),
     "size_weights": (["market"], "select m.ticker, m.d, round(least(s.med / m.sigma, 3), 6) as mult from market m join (select d, PCTL(sigma, 0.5) as med from market where sigma > 0 group by d) s on s.d = m.d where m.sigma > 0"),
     "blackout": (["walk"], "select ticker, d, max(case when abs(r) > 25e-3 then 1 else 0 end) over (partition by ticker order by d rows between 2 preceding and 1 following) as blocked from walk"),
-    "folds": (["cal"], """select a.y as test_year, min(c.d) as train_start, max(c.d) as train_end, count(*) as sessions from (select distinct year(d) as y from cal) a join cal c on year(c.d) < a.y and year(c.d) >= a.y - 4 group by a.y having count(*) >= 150"""),
     "expanding_above_median": (["market"], "select ticker, d, case when k >= 40 then case when sigma > med then 1 else 0 end end as high from (select ticker, d, sigma, count(sigma) over w as k, round(PCTL(sigma, 0.5) over w, 9) as med from (select ticker, d, round(sigma, 9) as sigma from market) m where sigma is not null window w as (partition by ticker order by d rows between unbounded preceding and current row)) q"),
     "correlation_distance": (["walk"], "select a.ticker as a, b.ticker as b, round(sqrt(greatest(0e0, (1 - corr(a.r, b.r)) / 2)), 6) as dist from walk a join walk b on a.d = b.d and a.ticker < b.ticker group by a.ticker, b.ticker"),
 }
