@@ -15,9 +15,9 @@ _TAIL_BELOW = (7.784695709041462e-3, 3.224671290700398e-1, 2.445134137142996, 3.
 
 
 def _poly(terms: tuple[float, ...], x: str) -> str:
-    out = f"{terms[0]:e}"
+    out = f"{terms[0]:.16e}"
     for t in terms[1:]:
-        out = f"({out} * {x} + {t:e})"
+        out = f"({out} * {x} + {t:.16e})"
     return out
 
 
