@@ -29,12 +29,14 @@ def range_shards(
 ) -> DataFrame:
     """Range-partition records so that the shards' total sizes are nearly equal.
 
-    1. Each row is drawn with a probability in proportion to its size, about
-       n_ranges * samples_per_range of them whatever the number of rows; a seeded
-       hash decides, so a repeated task draws the same rows.
+    1. Each row is drawn as often as its size asks for, n_ranges *
+       samples_per_range times the share that it has of all sizes, and once more
+       with the chance that is left over; a seeded hash decides, so a repeated
+       task draws the same rows.
     2. The quantiles of the sampled keys are the boundaries of n_ranges ranges.
     3. The ranges' true sizes are added up; one over `overfull` times the mean is
-       subdivided by a hash of its keys.
+       subdivided by a hash of the first key column, and what is overfull still, as
+       one such key is, by a hash of the whole key.
     4. Running totals, over the ranges and then within each, give every row its
        place on a line of all sizes, which is cut into n_shards equal lengths.
 
@@ -44,44 +46,47 @@ def range_shards(
     columns. Rows that are alike in key and size are interchangeable. Nulls in
     the key sort first; a null or negative size counts as 0; n_ranges bounds all
     that is broadcast or gathered. No rows give no rows. Columns of df called
-    shard, slot or range_id are replaced.
+    shard, slot or range_id are replaced, all others stay, whatever their names.
     """
     df = df.drop("shard", "slot", "range_id")
     weight = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
-    base = df.withColumns({"_key": F.struct(*key), "_size": weight})
-    total, n_rows = base.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
-    chance = F.col("_size") * F.lit(n_ranges * samples_per_range / max(1, total))
-    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = base.where(draw < chance).agg(F.array_sort(F.collect_list("_key")).alias("_s"))
-    every = F.transform(
-        F.sequence(F.lit(1), F.lit(n_ranges - 1)),
-        lambda i: F.get("_s", F.floor(i * F.size("_s") / n_ranges).cast("int")),
-    )
-    splitters = materialize(sample.select(F.when(F.size("_s") > 0, F.filter(every, lambda x: x.isNotNull())).otherwise(F.array().cast(sample.schema["_s"].dataType)).alias("_s")), "splitters")
-    placed = base.crossJoin(F.broadcast(splitters)).withColumn("range_id", _locate(F.col("_key"), F.col("_s"), n_ranges - 1)).drop("_s")
-    sub = F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(1 << 20)).cast("int")
-    coarse = placed.groupBy("range_id").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows"))
-    limit = overfull * max(1, total) / n_ranges, overfull * max(1, n_rows) / n_ranges
-    parts = materialize(
-        coarse.select("range_id", F.greatest(F.lit(1), F.ceil(F.greatest(F.col("bytes") / limit[0], F.col("rows") / limit[1]))).cast("int").alias("_parts")),
-        "ranges",
-    )
-    placed = placed.join(F.broadcast(parts), "range_id").withColumn("_sub", F.when(F.col("_parts") > 1, F.pmod(sub, F.col("_parts"))).otherwise(0)).drop("_parts")
-    placed = materialize(placed, "placed")
-    # at most n_ranges * (1 + overfull) pieces, whatever the number of rows
-    line = W.orderBy("range_id", "_sub")
+    base = df.select(F.struct(*df.columns).alias("row"), F.struct(*key).alias("key"), weight.alias("size"))
+    total, n_rows = base.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    wanted = F.col("size") * F.lit(n_ranges * samples_per_range / max(1, total))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.floor(wanted).cast("int") + (draw < wanted - F.floor(wanted)).cast("int")
+    sample = base.select("key", times.alias("times")).where("times > 0").select(F.explode(F.array_repeat("key", F.col("times"))).alias("key"))
+    sample = sample.agg(F.array_sort(F.collect_list("key")).alias("s"))
+    every = F.transform(F.sequence(F.lit(1), F.lit(n_ranges - 1)), lambda i: F.get("s", F.floor(i * F.size("s") / n_ranges).cast("int")))
+    splitters = materialize(sample.select(F.when(F.size("s") > 0, F.filter(every, lambda x: x.isNotNull())).otherwise(F.array().cast(sample.schema["s"].dataType)).alias("s")), "splitters")
+    placed = base.crossJoin(F.broadcast(splitters)).withColumn("range_id", _locate(F.col("key"), F.col("s"), n_ranges - 1)).drop("s")
+
+    def divided(placed: DataFrame, by: list[str], salt: int, column: str, name: str) -> DataFrame:
+        """placed with the pieces that an overfull one falls into, by a hash of a column."""
+        limit = overfull * max(1, total) / n_ranges, overfull * max(1, n_rows) / n_ranges
+        sums = placed.groupBy(*by).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+        parts = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("bytes") / limit[0], F.col("rows") / limit[1]))).cast("int")
+        parts = materialize(sums.select(*by, parts.alias("parts")), "ranges")
+        piece = F.pmod(F.xxhash64(F.lit(seed + salt), column), F.col("parts")).cast("int")
+        return placed.join(F.broadcast(parts), by).withColumn(name, piece).drop("parts")
+
+    placed = materialize(divided(placed, ["range_id"], 1, f"key.`{key[0]}`", "piece"), "placed")
+    pieces = ["range_id", "piece", "part"]
+    placed = materialize(divided(placed, pieces[:2], 2, "key", "part"), "placed")
+    # at most some n_ranges * (1 + 2 * overfull) parts, whatever the number of rows
+    line = W.orderBy(*pieces)
     before = line.rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("range_id", "_sub").agg(F.sum("_size").alias("_b"), F.count("*").alias("_n"))
-        .select("range_id", "_sub", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_from"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank"))
+        placed.groupBy(*pieces).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
+        .select(*pieces, F.coalesce(F.sum("b").over(before), F.lit(0)).alias("from"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank"))
     )
-    inside = W.partitionBy("range_id", "_sub").orderBy("_key", "_size")
-    middle = F.col("_from") + F.sum("_size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size") / 2
-    ranked = placed.join(F.broadcast(starts), ["range_id", "_sub"]).select(
-        *placed.columns,
+    inside = W.partitionBy(*pieces).orderBy("key", "size")
+    middle = F.col("from") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
+    ranked = placed.join(F.broadcast(starts), pieces).select(
+        "row", "range_id",
         F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(max(1, total)))).cast("int").alias("shard"),
-        (F.col("_rank") + F.row_number().over(inside) - 1).alias("_rank"),
+        (F.col("rank") + F.row_number().over(inside) - 1).alias("rank"),
     )
-    ranked = materialize(ranked.drop("_key", "_size", "_sub"), "ranked")
-    firsts = ranked.groupBy("shard").agg(F.min("_rank").alias("_first"))
-    return ranked.join(F.broadcast(firsts), "shard").select(*df.columns, "shard", (F.col("_rank") - F.col("_first")).alias("slot"), "range_id")
+    ranked = materialize(ranked, "ranked")
+    firsts = ranked.groupBy("shard").agg(F.min("rank").alias("first"))
+    return ranked.join(F.broadcast(firsts), "shard").select("row.*", "shard", (F.col("rank") - F.col("first")).alias("slot"), "range_id")
