@@ -34,6 +34,23 @@ def test_sharding_balances_and_is_gapless(docs):
     assert sharding.range_shards(sized.limit(0), ["text"], "size").count() == 0
 
 
+def test_shards_are_near_equal_and_keep_equal_keys_together(spark):
+    rng = np.random.default_rng(8)
+    sizes = np.r_[rng.integers(1, 50, 3000), [4000, 9000]]
+    keys = np.r_[np.where(np.arange(3000) % 3 == 0, 7, rng.integers(0, 400, 3000) + 100), [50, 60]]  # one key has a third of all rows
+    df = spark.createDataFrame([(int(k), i, int(s), "x", 1) for i, (k, s) in enumerate(zip(keys, sizes))], "g int, doc_id long, size long, _key string, part int")
+    rows = sharding.range_shards(df, ["g", "doc_id"], "size", n_shards=8, n_ranges=64)
+    assert set(df.columns) < set(rows.columns)
+    out = rows.collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(3002)) and all(r["_key"] == "x" and r["part"] == 1 for r in out)
+    totals = [sum(r["size"] for r in out if r["shard"] == s) for s in range(8)]
+    assert max(totals) - min(totals) <= 2 * 9000
+    for s in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    split = [g for g in set(keys.tolist()) - {7} if len({r["shard"] for r in out if r["g"] == g}) > 1]
+    assert len(split) <= 8  # but for the hot key, a group is cut only where two shards meet
+
+
 def test_quality_counts_match_brute_force(docs, spark):
     labels = spark.createDataFrame([(1, 1), (7, 1), (8, 0), (None, 1), (2, None)], "doc_id long, quality int")
     out = {r["doc_id"]: r for r in quality.quality_verdicts(docs, labels).collect()}
@@ -254,6 +271,28 @@ def test_neighbours_of_few_vectors_are_exact(spark):
         assert [r["vec_id"] for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == want
 
 
+def test_neighbours_reach_their_recall_when_few_are_reranked(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 2600)] + 0.6 * rng.normal(size=(2600, 32))
+    monkeypatch.setattr(additive_index, "RERANK", 100)
+    monkeypatch.setattr(additive_index, "BLOCK", 700)
+    rows = [(i, v.tolist(), "a", 1) for i, v in enumerate(x)] + [(5000, [1.0, 2.0], "b", 2), (5001, None, "b", 2), (20, x[20].tolist(), "c", 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block string, slot int")
+    out = additive_index.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    exact, found = x @ x.T, {}
+    for r in out:
+        assert r["score"] == pytest.approx(exact[r["query_id"], r["vec_id"]])
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hits = 0
+    for q in range(0, 2600, 20):
+        assert sorted(k for k, _ in found[q])[:20] == list(range(1, 21)) or q == 20
+        best = [i for i in np.argsort(-exact[q], kind="stable")[:21].tolist() if i != q][:20]
+        hits += len(set(best) & {v for _, v in found[q]})
+    assert hits >= 0.9 * 20 * 130 and 5000 not in found
+    assert additive_index.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
 def test_html_keeps_the_article():
     page = "<html><nav><ul><li><a href=x>Home</a></ul></nav><div class='cookie-notice'>We use cookies, ok.</div><article><h1>T &amp; U</h1><p>One  two, three.<p>Four\nfive, six.</article><div id=comments><p>Nice, very nice.</div><script>var a='</p>';</script><footer>c</footer></html>"
     assert html_extract.extract(page) == "T & U\nOne two, three.\nFour five, six."
