@@ -295,7 +295,9 @@ class Encoder:
         distinct = list(number)
         if len(cache) > CACHE:
             cache = self.cache = {s: cache[s] for s in distinct if s in cache}
-        self._learn([s for s in distinct if s not in cache and 2 <= len(s) <= 32])
+        # with dropout, a segment that is here once is merged once, with its draws, and not kept
+        often = (np.bincount(which, minlength=len(distinct)) > (0 if self.skips is None else 1)).tolist()
+        self._learn([s for s, more in zip(distinct, often) if more and s not in cache and 2 <= len(s) <= 32])
         own = [cache.get(s) for s in distinct]
         plain = [x[2] if x else self._segment(s, 0) if self.skips is None else b"" for x, s in zip(own, distinct)]
         anew: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -323,15 +325,17 @@ class Encoder:
     def _dropped(self, distinct: list[str], own: list[tuple[int, bytes, bytes] | None], which: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(occurrences, ids, how many each has) of those that are not as without dropout. which: of the distinct segments; keys: of the places."""
         hashes = np.array([0 if x is None else x[0] for x in own], np.uint64)
-        for k, x in enumerate(own):
-            if x is None:
-                hashes[k] = self._hash(np.frombuffer(distinct[k].encode("utf-32-le"), "<u4").reshape(1, -1))[0]
+        lengths = np.array([len(s) for s in distinct], np.int64)
+        fresh = np.array([x is None for x in own], bool)
+        for size in np.unique(lengths[fresh]).tolist():
+            some = np.flatnonzero(fresh & (lengths == size))
+            hashes[some] = self._hash(np.frombuffer("".join([distinct[k] for k in some.tolist()]).encode("utf-32-le"), "<u4").reshape(-1, size))
         keys = mix(keys ^ hashes[which])
+        short = (lengths >= 2) & (lengths <= 32)
         adds = np.frombuffer(b"".join(b"" if x is None else x[1] for x in own), np.uint64)
         steps = np.array([0 if x is None else len(x[1]) // 8 for x in own], np.int64)
         starts = np.cumsum(steps) - steps
-        lengths = np.array([len(s) for s in distinct], np.int64)
-        again = []
+        again = [np.flatnonzero((fresh & short)[which])]
         for first in range(0, len(which), 8 * ROWS):
             k, key = which[first : first + 8 * ROWS], keys[first : first + 8 * ROWS]
             ends = np.cumsum(steps[k])
@@ -340,7 +344,7 @@ class Encoder:
                 hit = self.skips[(np.repeat(key, steps[k]) + adds[at] >> np.uint64(8)) & np.uint64(0xFFFF)]
             so_far = np.concatenate([[0], np.cumsum(hit)])
             again.append(first + np.flatnonzero(so_far[ends] > so_far[ends - steps[k]]))
-        touched = np.concatenate(again) if again else np.zeros(0, np.int64)
+        touched = np.concatenate(again)
         size_of = lengths[which[touched]]
         out = []
         for size in np.unique(size_of).tolist():
@@ -349,7 +353,7 @@ class Encoder:
                 part = some[first : first + ROWS]
                 named, at = np.unique(which[part], return_inverse=True)
                 out.append((part, *self._many([distinct[k] for k in named.tolist()], at, keys[part])))
-        rare = np.flatnonzero(np.array([x is None for x in own], bool)[which])
+        rare = np.flatnonzero((fresh & ~short)[which])
         if len(rare):
             coded = [np.frombuffer(self._segment(distinct[which[i]], int(keys[i])), "<i4") for i in rare.tolist()]
             out.append((rare, np.concatenate(coded), np.array([len(c) for c in coded])))
