@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@lru_cache(2)
 def encoder(tokenizer_json: str, ranks_file: str | None = None):
-    """A function from texts to lists or arrays of ids: those of the tokenizer file, through its ranks where given (several times faster, same ids)."""
+    """A function from texts to lists or arrays of ids: those of the tokenizer file, through its ranks where given (several times faster, same ids). A worker reads the files once."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer_json)
@@ -65,7 +67,10 @@ def tokenised(docs: DataFrame, tokenizer_json: str, ranks_file: str | None = Non
         for whole in batches:
             for first in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(first, TEXTS)
-                coded = [np.concatenate([ids, [0]]).astype("<u2") for ids in encode([t or "" for t in batch.column(1).to_pylist()])]
+                coded = []
+                for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
+                    coded.append(np.zeros(len(ids) + 1, "<u2"))
+                    coded[-1][:-1] = ids
                 places = [(part << 33) + row + i for i in range(len(coded))]
                 row += len(coded)
                 least = np.array([c[w[c].argmin()] for c in coded for w in weights], np.int32).reshape(-1, len(weights))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -270,14 +271,22 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
+#: The automaton of the model that a worker used last: what it has determinised serves the worker's next tasks.
+_READY: dict[str, Automaton] = {}
+
+
 @dataclass(frozen=True)
 class Model:
     terms: list[Term]
     known: frozenset[str]
     beta: np.ndarray
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def automaton(self) -> Automaton:
-        return Automaton(self.terms, self.known)
+        if self.key not in _READY:
+            _READY.clear()
+            _READY[self.key] = Automaton(self.terms, self.known)
+        return _READY[self.key]
 
     def score(self, automaton: Automaton, text: str | None) -> float:
         x = automaton.features(text or "")
