@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.llm.groups import linked_groups
-from panelforge.llm.shared import drop, materialize
+from panelforge.llm.shared import drop, free_name, materialize
 from panelforge.llm.shingles import shingle_hashes, text_pieces, word_hashes
 
 WIDTH, PERCENT = 5, 80
@@ -214,6 +214,17 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that are the smallest doc_id of their group; rows without shingles or doc_id stay."""
-    later = jaccard_groups(docs, text, key).where("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(later, docs[key].cast("long") == F.col("_doc"), "left_anti")
+    """Of each group the row of the smallest doc_id; rows without shingles or without a doc_id stay.
+
+    Rows that share a doc_id are told apart by their texts, and are in groups of
+    their own; rows that share both are not, and stay or go together.
+    """
+    row = F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    own = materialize(docs.where(F.col(key).isNotNull()).select(row.alias("row"), F.col(key).cast("long").alias("id")).distinct(), "rows")
+    texts = docs.where(F.col(key).isNotNull()).select(row.alias("doc_id"), F.col(text).alias("text"))
+    groups = jaccard_groups(texts).where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    groups = materialize(groups.join(own, "row"), "groups")
+    first = materialize(groups.groupBy("component").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1").select("component", F.col("first.row").alias("first")), "first")
+    gone = free_name("row", docs.columns)
+    later = materialize(groups.join(first, "component").where("row <> first").select(F.col("row").alias(gone)), "later")
+    return docs.join(later, row == F.col(gone), "left_anti")

@@ -108,7 +108,7 @@ def certified_thresholds(labelled: DataFrame, strata: int, stratum: str = "strat
     )
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", version: bool = False) -> DataFrame:
     """Per document: doc_id, the counts of signals(), base_failed, stratum, failed_rules, kept.
 
     docs: doc_id, text and the stratum column; labels: doc_id, quality (1: good).
@@ -116,9 +116,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang")
     rules of certified_thresholds() then decide, by stratum (null: 'none').
     Of several labels of a document the best counts, and those without quality
     count for nothing; labelled documents that fail the base rules teach nothing.
-    Every row of docs gives one row, repeated ones too.
+    Every row of docs gives one row, repeated ones too. With `version` each has a
+    hash of its text, which tells texts of one doc_id apart. Other columns of docs
+    are not read.
     """
-    rows = materialize(signals(docs.withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("none"))), "doc_id", "stratum"), "signals")
+    docs = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
+    more = ["version"] if version else []
+    rows = materialize(signals(docs, "doc_id", "stratum", *more), "signals")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", base)
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
@@ -129,11 +133,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang")
     rules = F.array_compact(F.array(*failed))
     return (
         rows.join(F.broadcast(limits), "stratum", "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "stratum", rules.alias("rules"))
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "stratum", rules.alias("rules"), *more)
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "stratum",
             F.array_join("rules", ",").alias("failed_rules"),
-            (~F.col("base_failed") & (F.size("rules") == 0)).alias("kept"),
+            (~F.col("base_failed") & (F.size("rules") == 0)).alias("kept"), *more,
         )
     )
 

@@ -79,9 +79,38 @@ def test_ngram_groups_match_brute_force(docs):
 
 
 def test_near_duplicates_keep_rows_without_a_key(docs, spark):
-    more = docs.union(spark.createDataFrame([(None, "one clean text without a key", "en", 8), (None, "", "en", 9)], DOCS))
-    kept = sorted((r["doc_id"] for r in ngram_join.one_of_each_group(more).collect()), key=str)
-    assert kept == [1, 4, 5, 6, 7, 8, None, None]
+    more = docs.union(spark.createDataFrame([(None, "one clean text without a key", "en", 8), (None, "", "en", 9), (2, "another text that shares its doc_id with a copy", "en", 10), (9, docs.first()["text"], "en", 11)], DOCS))
+    kept = sorted(((r["doc_id"], r["shard"]) for r in ngram_join.one_of_each_group(more).collect()), key=str)
+    assert kept == sorted([(1, 0), (4, 3), (5, 4), (6, 5), (7, 6), (8, 7), (None, 8), (None, 9), (2, 10)], key=str)
+
+
+def test_pipeline_stages_keep_texts_apart_and_end_with_pieces(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    words = [f"{a}{b}" for a in "stone river cloud light paper metal green table house field".split() for b in "s ing ed er ly ness ful ward".split()]
+    texts = {d: " ".join(rng.choice(words, 90)) for d in range(200)}
+    rows = [(d, t + (" you vermin scum" if d % 4 == 0 else ""), "en", "web") for d, t in texts.items()]
+    rows += [(1, "short", "en", "web"), (4, texts[4], "en", "web"), (300, texts[7], "en", "web"), (None, texts[9] + " other", None, None), (301, None, "en", "web")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(d, 1, int(d % 4 == 0)) for d in texts]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    step = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns
+        path = f"{tmp_path}/{name}"
+        step.write.parquet(path)
+        step = spark.read.parquet(path)
+        seen.append({(r["doc_id"], (r["text"] or "")[:40]) for r in step.collect()})
+    after_quality, after_toxicity, _, after_copies = seen
+    assert (1, "short") not in after_quality and (1, texts[1][:40]) in after_quality and (301, "") not in after_quality
+    assert (8, texts[8][:40]) not in after_toxicity and (4, texts[4][:40]) in after_toxicity  # the clean text of doc_id 4, not the toxic one
+    assert sum(t == texts[7][:40] for _, t in after_copies) == 1 and any(d is None for d, _ in after_copies)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, step, str(tmp_path)).collect()
+    assert sorted(str(p["doc_id"]) for p in pieces if p["start"] == 0) == sorted(str(r["doc_id"]) for r in step.collect())
 
 
 def test_lines_keep_one_of_each_group(spark):
