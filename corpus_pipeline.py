@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.line_dedup import dedup_lines
@@ -10,22 +12,32 @@ from panelforge.llm.ngram_join import one_of_each_group
 from panelforge.llm.packing import pack
 from panelforge.llm.quality import quality_verdicts
 from panelforge.llm.queries import model_path
-from panelforge.llm.shared import materialize, table
+from panelforge.llm.shared import free_name, materialize, table
 from panelforge.llm.toxicity import learn, score_documents
 
 
+def _without(docs: DataFrame, gone: DataFrame, *key: Column) -> DataFrame:
+    """docs without the rows whose key is in the columns of gone."""
+    names = [free_name(f"{k}", docs.columns) for k in range(len(key))]
+    gone = gone.distinct().toDF(*names)
+    return docs.join(gone, reduce(lambda x, y: x & y, [k == F.col(n) for k, n in zip(key, names)]), "left_anti")
+
+
+def _version() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the certified thresholds reject go."""
-    verdicts = quality_verdicts(docs, table(spark, sf_dir, "labels"))
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Documents that the base rules or the certified thresholds reject go; a verdict is on a text and its language, whatever the doc_id."""
+    verdicts = quality_verdicts(docs, table(spark, sf_dir, "labels"), version=True)
+    return _without(docs, verdicts.where("not kept").select("version", "stratum"), _version(), F.coalesce(F.col("lang").cast("string"), F.lit("none")))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go."""
-    scored = score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
-    gone = materialize(scored.where("score >= 0.5").select(F.col("doc_id").alias("_gone")).distinct(), "toxic")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Documents with a score of 0.5 or more go; a score is of a text, whatever the doc_id."""
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs.select(_version().alias("doc_id"), "text"), model)
+    return _without(docs, materialize(scored.where("score >= 0.5").select("doc_id").distinct(), "toxic"), _version())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
