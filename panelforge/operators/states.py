@@ -26,31 +26,43 @@ class PairRule:
 MEAN, STOP, TIME, DATA = 1, 2, 3, 4
 
 
+@dataclass
+class PairMachine:
+    """The state of a pair between sessions; step() takes a score and gives the position and why one was closed (0: none was)."""
+
+    rule: PairRule
+    position: int = 0
+    held: int = 0
+    barred_long: bool = False
+    barred_short: bool = False
+
+    def step(self, z: float | None) -> tuple[int, int]:
+        """A null or NaN score closes a position and lifts no bar."""
+        rule, why = self.rule, 0
+        if z is None or math.isnan(z):
+            why, self.position = (DATA, 0) if self.position else (0, 0)
+            return 0, why
+        if abs(z) <= rule.exit:
+            self.barred_long = self.barred_short = False
+        if self.position:
+            self.held, loss = self.held + 1, -self.position * z
+            why = STOP if loss >= rule.stop else MEAN if loss <= rule.exit else TIME if self.held >= rule.max_hold else 0
+            if why in (STOP, TIME):
+                self.barred_long |= self.position > 0
+                self.barred_short |= self.position < 0
+            self.position = 0 if why else self.position
+        else:
+            side = -1 if z > 0 else 1
+            if rule.entry < abs(z) < rule.stop and not (self.barred_long if side > 0 else self.barred_short):
+                self.position, self.held = side, 0
+        return self.position, why
+
+
 def walk_pair(scores: list[float | None], rule: PairRule, start: int = 0) -> tuple[list[int], list[int]]:
-    """Positions and exit reasons along a score series; a null or NaN score closes a position and lifts no bar."""
-    position, held, barred = 0, 0, set()
-    positions, reasons = [], []
-    for t, z in enumerate(scores):
-        why = 0
-        missing = z is None or math.isnan(z)
-        if t >= start and missing and position:
-            why, position = DATA, 0
-        elif t >= start and not missing:
-            if abs(z) <= rule.exit:
-                barred.clear()
-            if position:
-                held, loss = held + 1, -position * z
-                why = STOP if loss >= rule.stop else MEAN if loss <= rule.exit else TIME if held >= rule.max_hold else 0
-                if why in (STOP, TIME):
-                    barred.add(position)
-                position = 0 if why else position
-            else:
-                side = -1 if z > 0 else 1
-                if rule.entry < abs(z) < rule.stop and side not in barred:
-                    position, held = side, 0
-        positions.append(position)
-        reasons.append(why)
-    return positions, reasons
+    """Positions and exit reasons along a score series; nothing happens before `start`."""
+    machine = PairMachine(rule)
+    steps = [(0, 0)] * min(start, len(scores)) + [machine.step(z) for z in scores[start:]]
+    return [p for p, _ in steps], [why for _, why in steps]
 
 
 def walk_book(scores: list[float | None], entry: float, exit: float, stop: float, max_hold: int) -> list[int]:

@@ -73,10 +73,18 @@ SELECTS: dict[str, tuple[list[str], str]] = {
   select ticker, d, i, sum(g) over w as s, sum(g * g) over w as s2, sum(g * x) over w as sx, sum(g * x * x) over w as sxx from (
   select ticker, d, i, close - 100 as x, exp((i - max(i) over (partition by ticker)) * ln(2e0) / 20) as g from walk) a window w as (partition by ticker order by d rows between unbounded preceding and current row)) q"""),
     "market_data": (["market"], "select ticker, d, round(adv, 3) as adv, round(sigma, 8) as sigma from market"),
+    # ranges are shifted by what the session opened beyond the last close
     "corwin_schultz": (["bar"], """select ticker, d, case when b is not null then round(2 * (exp(a) - 1) / (1 + exp(a)), 7) end as spread from (
   select ticker, d, b, (sqrt(2 * b) - sqrt(b)) / (3 - 2 * sqrt(2e0)) - sqrt(g / (3 - 2 * sqrt(2e0))) as a from (
   select ticker, d, v + lag(v) over w as b, power(ln(greatest(h, lag(h) over w) / least(l, lag(l) over w)), 2) as g from (
-  select ticker, d, h, l, power(ln(h / l), 2) as v from (select ticker, d, high + 0e0 as h, low + 0e0 as l from bar) a) c window w as (partition by ticker order by d)) e) f"""),
+  select ticker, d, h, l, power(ln(h / l), 2) as v from (select ticker, d, high + shift as h, low + shift as l from (
+    select ticker, d, high, low, coalesce(greatest(prev - high, 0e0) - greatest(low - prev, 0e0), 0e0) as shift from (select ticker, d, high + 0e0 as high, low + 0e0 as low, lag(close) over (partition by ticker order by d) as prev from bar) o) s) a) c window w as (partition by ticker order by d)) e) f"""),
+    "rolling_beta_guarded": (["walk"], """select ticker, d, case when n >= 20 and vx > 1e-12 * greatest(mx, 1e-300) then round(cxy / vx, 5) end as beta from (
+  select a.ticker, a.d, count(*) over w as n, avg(a.r * m.r) over w - avg(a.r) over w * avg(m.r) over w as cxy, avg(m.r * m.r) over w - avg(m.r) over w * avg(m.r) over w as vx, avg(m.r * m.r) over w as mx
+  from walk a join (select d, avg(r) as r from walk group by d) m on m.d = a.d window w as (partition by a.ticker order by a.d rows between 19 preceding and current row)) q"""),
+    "expanding_mean_std": (["walk"], "select ticker, d, case when count(close) over w >= 20 then round(avg(close) over w, 6) end as mean, case when count(close) over w >= 20 then round(stddev_samp(close) over w, 6) end as std from walk window w as (partition by ticker order by d rows between unbounded preceding and current row)"),
+    "rolling_hedge": (["pair"], """select y, x, d, case when n >= 60 and vx > 1e-10 then round(cxy / vx, 4) end as beta from (
+  select y, x, d, count(*) over w as n, avg(lx * ly) over w - avg(lx) over w * avg(ly) over w as cxy, avg(lx * lx) over w - avg(lx) over w * avg(lx) over w as vx from pair window w as (partition by y, x order by d rows between 59 preceding and current row)) q"""),
     "hurst_variance": (["walk"], """select ticker, round(regr_slope(ln(s), ln(t)), 4) as hurst from (
   select a.ticker, s.k * 1e0 as t, stddev_samp(ln(b.close) - ln(a.close)) as s from walk a cross join SERIES(20) s join walk b on b.ticker = a.ticker and b.i = a.i + s.k where s.k >= 2 group by a.ticker, s.k) q where s > 0 group by ticker"""),
     "adf_lag0": (["walk"], """select ticker, n, round(b / se, 4) as stat from (
