@@ -178,7 +178,6 @@ def pca_of_pairs(df: DataFrame) -> DataFrame:
 QUERIES = {
     "adf_aic": (["walk"], "select ticker, cast(i as int) as i, ln(close) as v from walk", adf_by_ticker),
     "engle_granger_aic": (["pair"], "select y, x, i, d, ly, lx from pair", partial(by_pair, kernel="tests")),
-    "kalman_hedge": (["pair"], "select y, x, i, d, ly, lx from pair", partial(by_pair, kernel="hedges")),
     "johansen": (["walk"], "select cast((cast(substr(ticker, 7, 2) as int) - 1) % 5 as int) as g, ticker, d, ln(close) as v from walk", johansen_by_group),
     "pca_factors": (["walk"], "select a.ticker as a, b.ticker as b, corr(a.r, b.r) as rho, count(*) as n from walk a join walk b on a.d = b.d group by a.ticker, b.ticker", pca_of_pairs),
 }

@@ -61,6 +61,15 @@ ON_POSITIONS: dict[str, tuple[list[str], str]] = {
     "surface_summary": (["mkt", "cal"], f"""select count(*) as cells, round(min(s), 5) as worst, round(max(s), 5) as best, round(PCTL(s, 0.5), 5) as middle, round(avg(case when s > 0 then 1e0 else 0e0 end), 6) as share_positive from (
   select spread_mult, impact_mult, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(52.0), 7) as s from (
     select s.spread_mult, t.impact_mult, pnl - spread_mult * cost_spread - cost_commission - cost_borrow - impact_mult * cost_impact as net from {DAILY} k cross join {MULTIPLES.format("spread_mult")} s cross join {MULTIPLES.format("impact_mult")} t) q group by spread_mult, impact_mult) z"""),
+    # the hedge of an expanding regression as it was when the trade was opened, and a notional for a target volatility then
+    "frozen_at_entry": (["pair", "spr"], """select y, x, d, pos, case when pos = 0 then 0e0 else round(first_value(beta) over t, 4) end as beta, case when pos = 0 then 0e0 else coalesce(round(least(3e0, 2e-2 / nullif(first_value(sd) over t, 0)), 4), 0e0) end as notional from (
+  select *, sum(case when pos <> old then 1 else 0 end) over (partition by y, x order by i) as trade from (
+    select st.y, st.x, st.d, st.i, st.pos, lag(st.pos, 1, 0) over (partition by st.y, st.x order by st.i) as old, e.beta, e.sd from st join (
+      select y, x, d, case when n >= 30 and vx > 1e-10 then cxy / vx else 0e0 end as beta, case when m >= 20 then sd end as sd from (
+        select p.y, p.x, p.d, count(*) over w as n, avg(p.lx * p.ly) over w - avg(p.lx) over w * avg(p.ly) over w as cxy, avg(p.lx * p.lx) over w - avg(p.lx) over w * avg(p.lx) over w as vx,
+          count(s.ret) over v as m, stddev_samp(s.ret) over v as sd from pair p join (select y, x, d, ry - lag(beta) over (partition by y, x order by d) * rx as ret from spr) s on s.y = p.y and s.x = p.x and s.d = p.d
+        window w as (partition by p.y, p.x order by p.d rows between unbounded preceding and current row), v as (partition by p.y, p.x order by p.d rows between 19 preceding and current row)) q) e on e.y = st.y and e.x = st.x and e.d = st.d) a) b
+  window t as (partition by y, x, trade order by i rows between unbounded preceding and current row)"""),
     # 300 draws of as many pairs as there are slots
     "placebo_series": ([], f"""select b, count(*) as sessions, round(avg(pnl), 9) + 0e0 as mean_pnl, round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(52.0), 5) + 0e0 as sharpe from (
   select c.b, p.d, sum(p.pnl) / {SLOTS} as pnl from {PNL} p join (select y, x, b from (

@@ -80,3 +80,4 @@ ORACLES: dict[str, str] = {n: text(*SELECTS[n], "check") for n in SELECTS}
 ORACLES |= {n: text(["zs", *more], s, "check", "with recursive", (trading.POSITIONS_CHECK,)) for n, (more, s) in ON_POSITIONS.items()}
 ORACLES |= {n: text(["score", *more], s, "check", "with recursive", (trading.STATES_CHECK,)) for n, (more, s) in books.ON_STATES.items()}
 ORACLES["book_states"] = text(["score"], "select ticker, d, state from bs", "check", "with recursive", (trading.STATES_CHECK,))
+ORACLES["kalman_hedge"] = text(["pair"], kernels.KALMAN_SELECT, "check", "with recursive", (kernels.KALMAN_CHECK,))

@@ -55,6 +55,17 @@ SELECTS: dict[str, tuple[list[str], str]] = {
     "ou_stationary": (["walk"], """select ticker, round(m, 5) as theta, round(sqrt(s2 / (1 - b * b)), 6) as sd, round(sqrt(s2 * -2 * ln(b) * 52 / (1 - b * b)), 5) as sigma from (
   select ticker, regr_slope(x, px) as b, regr_intercept(x, px) / (1 - regr_slope(x, px)) as m, (regr_syy(x, px) - power(regr_sxy(x, px), 2) / regr_sxx(x, px)) / (count(*) - 2) as s2 from (
     select ticker, ln(close) as x, lag(ln(close)) over (partition by ticker order by d) as px from walk) a where px is not null group by ticker) f where b > 0 and b < 99e-2"""),
+    # the spread after training, with the hedge and mean of training
+    "oos_metrics": (["pair"], """select y, x, round(sd / train_sd, 5) as sd_ratio, round(abs(m) / train_sd, 5) as mean_shift, round(b, 5) as ar1, case when b > 1e-3 and b < 999e-3 then round(-ln(2.0) / ln(b), 3) end as half_life from (
+  select y, x, max(train_sd) as train_sd, stddev_samp(s) as sd, avg(s) as m, regr_slope(s, past) as b from (
+    select p.y, p.x, h.train_sd, p.ly - h.beta * p.lx - h.alpha as s, lag(p.ly - h.beta * p.lx - h.alpha) over (partition by p.y, p.x order by p.i) as past from pair p join (
+      select y, x, regr_slope(ly, lx) as beta, regr_intercept(ly, lx) as alpha, sqrt((regr_syy(ly, lx) - power(regr_sxy(ly, lx), 2) / regr_sxx(ly, lx)) / (count(*) - 1)) as train_sd from pair where d <= date '1996-12-31' group by y, x) h on h.y = p.y and h.x = p.x
+    where p.d > date '1996-12-31') q group by y, x) z"""),
+    "pair_table_merge": (["pair"], """select a.y, a.x, round(a.beta, 5) as beta_train, round(b.beta, 5) as beta_test, round(a.rho, 5) as rho_train, round(b.rho, 5) as rho_test, a.beta * b.beta > 0 as same_sign from (
+  select y, x, regr_slope(ly, lx) as beta, corr(ry, rx) as rho from pair where d <= date '1996-12-31' group by y, x) a left join (select y, x, regr_slope(ly, lx) as beta, corr(ry, rx) as rho from pair where d > date '1996-12-31' group by y, x) b on b.y = a.y and b.x = a.x"""),
+    "random_pair_pool": (["pair"], "select y, x, round(beta, 5) as beta from (select y, x, regr_slope(ly, lx) as beta, corr(ry, rx) as rho from pair where d <= date '1996-12-31' group by y, x) q where beta > 0 and rho < 15e-2"),
+    "reselect_pairs": (["pair"], """select y, x, round(edge, 5) as edge from (select y, x, edge, row_number() over (order by edge desc, y, x) as k from (
+  select y, x, round(1e4 * sqrt(greatest(0e0, regr_syy(ly, lx) - power(regr_sxy(ly, lx), 2) / regr_sxx(ly, lx)) / count(*)), 6) as edge, regr_slope(ly, lx) as beta from pair where d <= date '1996-12-31' group by y, x) q where beta >= 1e-1 and beta <= 1e1) z where k <= 20"""),
     "standardise": (["walk"], "select w.ticker, w.d, round((w.r - f.m) / f.s, 6) + 0e0 as z from walk w join (select ticker, avg(r) as m, stddev_pop(r) as s from walk where d < date '1996-01-01' group by ticker) f on f.ticker = w.ticker where f.s > 0"),
     "hurst_rescaled_range": (["walk"], """select ticker, round(regr_slope(ln(rs), ln(size)), 4) as hurst from (select ticker, size * 1e0 as size, avg((hi - lo) / s) as rs from (
   select ticker, size, chunk, max(c) - least(min(c), 0e0) * 0 as hi, min(c) as lo, max(s) as s from (
