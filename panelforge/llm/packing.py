@@ -16,7 +16,7 @@ from panelforge.llm.shared import materialize
 
 WINDOW = 1024
 #: Tokens of an index shard, which one task holds: 4 bytes each, and about as much again for its postings.
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS = 500_000
 #: Texts that are tokenised at a time.
 TEXTS = 500
 #: Neighbours that are sorted at a time.
@@ -29,12 +29,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @lru_cache(2)
 def encoder(tokenizer_json: str, ranks_file: str | None = None):
-    """A function from texts to lists or arrays of ids: those of the tokenizer file, through its ranks where given (several times faster, same ids). A worker reads the files once."""
+    """A function from texts to the bytes of their ids, little-endian uint16: those of the tokenizer file, through its ranks where given (several times faster, same ids). A worker reads the files once."""
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer_json)
     if ranks_file is None:
-        return lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [np.array(e.ids, "<u2").tobytes() for e in slow.encode_batch(texts, add_special_tokens=False)]
     import base64
 
     import public_tokenizers
@@ -44,7 +44,13 @@ def encoder(tokenizer_json: str, ranks_file: str | None = None):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
-    return lambda texts: [slow.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_to_numpy(t, disallowed_special=()) for t in texts]
+
+    def one(text: str) -> bytes:
+        if any(s in text for s in special):
+            return np.array(slow.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+
+    return lambda texts: [one(t) for t in texts]
 
 
 def routes(n: int = 2, seed: int = 7) -> np.ndarray:
@@ -67,17 +73,15 @@ def tokenised(docs: DataFrame, tokenizer_json: str, ranks_file: str | None = Non
         for whole in batches:
             for first in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(first, TEXTS)
-                coded = []
-                for ids in encode([t or "" for t in batch.column(1).to_pylist()]):
-                    coded.append(np.zeros(len(ids) + 1, "<u2"))
-                    coded[-1][:-1] = ids
+                raw = [ids + b"\0\0" for ids in encode([t or "" for t in batch.column(1).to_pylist()])]
+                coded = [np.frombuffer(ids, "<u2") for ids in raw]
                 places = [(part << 33) + row + i for i in range(len(coded))]
                 row += len(coded)
                 least = np.array([c[w[c].argmin()] for c in coded for w in weights], np.int32).reshape(-1, len(weights))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0), pa.array(places, pa.int64()), pa.array([len(c) for c in coded], pa.int32()),
-                        pa.array(least[:, 0]), pa.array(least[:, 1]), pa.array([c.tobytes() for c in coded], pa.binary()),
+                        pa.array(least[:, 0]), pa.array(least[:, 1]), pa.array(raw, pa.binary()),
                     ],
                     ["doc_id", "place", "n", "route", "then", "ids"],
                 )

@@ -248,6 +248,16 @@ def test_packing_covers_each_id_once(docs):
         assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][0] + own[-1][1] == own[0][2]
 
 
+def test_ranks_give_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    slow, encode = Tokenizer.from_file(model_path("byte_bpe_50k.json")), packing.encoder(model_path("byte_bpe_50k.json"), model_path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(13)
+    parts = ["don't", "we'll", "''s", "  ", "\n\n", " \t x", "é", "Ümlaut", "3.14", "a1b2", "'S", "—", "日本", "½", "\x1c", "<|endoftext|>", "...", "thandingedor", " ", "\xa0", "x\r\n"]
+    texts = ["", " ", "a"] + ["".join(rng.choice(parts, 8)) for _ in range(300)] + [" ".join(rng.choice(parts[:11], 30)) for _ in range(50)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_routes_copies_to_one_shard(spark, monkeypatch):
     from tokenizers import Tokenizer
 
