@@ -115,19 +115,21 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     base_failed: under 50 words, or over half of them in repeated windows. The
     rules of certified_thresholds() then decide, by stratum (null: 'none').
     Of several labels of a document the best counts, and those without quality
-    count for nothing; labelled documents that fail the base rules teach nothing.
+    count for nothing; labelled documents that fail the base rules teach nothing,
+    and copies of one text in a stratum teach as one.
     Every row of docs gives one row, repeated ones too. With `version` each has a
     hash of its text, which tells texts of one doc_id apart. Other columns of docs
     are not read.
     """
     docs = docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
     more = ["version"] if version else []
-    rows = materialize(signals(docs, "doc_id", "stratum", *more), "signals")
+    rows = materialize(signals(docs, "doc_id", "stratum", "version"), "signals")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", base)
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
     strata = rows.select("stratum").distinct().count()
-    limits = certified_thresholds(rows.where("not base_failed").join(good, "doc_id"), strata)
+    # copies of a text are one draw, as the bound is for independent ones
+    limits = certified_thresholds(rows.where("not base_failed").join(good, "doc_id").dropDuplicates(["stratum", "version"]), strata)
     limits = materialize(limits.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "threshold"))).alias("limits")), "limits")
     failed = [F.when(1000 * F.col(a) > F.try_element_at("limits", F.lit(r)) * F.col(b), F.lit(r)) for r, (a, b) in RULES.items()]
     rules = F.array_compact(F.array(*failed))
@@ -159,7 +161,7 @@ r as (
   from (select doc_id, i, count(*) over (partition by doc_id, gram) as n from g), (values (0), (1), (2)) as o(k)
   where n > 1 group by doc_id),
 s as (
-  select doc_id, stratum, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
+  select doc_id, stratum, t, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(ls)::bigint as n_lines,
     (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
   from w left join r using (doc_id)),
@@ -167,7 +169,7 @@ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 good as (select doc_id from labels where quality is not null group by doc_id having max(quality) = 1),
 c as (
   select stratum, rule, step, t, count(*) as n, count(*) filter (case rule {ratio} end) as k
-  from b join good using (doc_id), (values {grid}) as v(rule, step, t) where not base_failed group by all),
+  from (select distinct on (stratum, t) * exclude (t) from b join good using (doc_id) where not base_failed) u, (values {grid}) as v(rule, step, t) group by all),
 p as (
   select *, case when k >= n then 1 else (
     select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK / len(RULES)}) + (n - i) * ln(1 - {RISK / len(RULES)})))
@@ -177,7 +179,7 @@ ok as (select stratum, rule, step, t from (select *, bool_or(bad) over (partitio
 lim as (select stratum, rule, arg_max(t, step) as t from ok group by all),
 f as (
   select doc_id, string_agg(rule, ',' order by array_position({list(RULES)}, rule)) as failed_rules
-  from b join lim using (stratum) where case rule {ratio} end group by doc_id)
+  from (select * exclude (t) from b) b join lim using (stratum) where case rule {ratio} end group by doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, stratum,
   coalesce(failed_rules, '') as failed_rules, not base_failed and failed_rules is null as kept
 from b left join f using (doc_id)"""
