@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -92,10 +93,7 @@ def linked_groups(
         else:
             own = hot.where("component = _main").withColumn("_k", F.row_number().over(across.orderBy(F.xxhash64(bucket, node), node)))
             both = pairs(outside, own.where(F.col("_k") <= PIVOTS).drop("_k"), "true", may_link)
-        both = both.distinct()
-        for t in tried:
-            both = both.join(t, ["a", "b"], "left_anti")
-        tried.append(materialize(both, "pairs"))
+        tried.append(materialize(both.distinct().join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "pairs"))
         more = materialize(verify(tried[-1]), "links")
         if not more.isEmpty():
             edges = edges.union(more)
