@@ -13,7 +13,8 @@ from panelforge.llm.shared import components, drop, materialize
 
 #: Buckets of up to so many members have all their pairs verified at once.
 SMALL = 8
-PIVOTS = 2
+#: Members that all of a bucket are held against first, and how often what is left is held against others, twice as many each time.
+PIVOTS, TURNS = 2, 1
 
 
 def linked_groups(
@@ -39,10 +40,10 @@ def linked_groups(
 
     The result is that of verifying every pair of every bucket, with fewer pairs:
     a small bucket gives all of them. In a large one each member is first held
-    against a few pivots, the same ones in all buckets of a group of copies; then
-    the members outside the bucket's largest component against a few of that
-    component, chosen by bucket; and what is still outside then against all that
-    are not in their own component. A pair within a component can't change the
+    against a few pivots, the same ones in all buckets of a group of copies; then,
+    in some turns, the members outside the bucket's largest component against a
+    few of that component and a few of the others, chosen by bucket; and what is
+    still outside then against all that are not in their own component. A pair within a component can't change the
     components. release: a table of materialize() that only members reads, and
     that then goes. Tables in between go as soon as the next one is written.
     """
@@ -86,13 +87,16 @@ def linked_groups(
 
     hot = materialize(split(with_components(many)), "hot")
     drop(ranked)
-    for last in (False, True):
+    for turn in range(TURNS + 1):
+        last = turn == TURNS
         outside = hot.where("component <> _main")
         if last:
             both = pairs(outside, hot, f"a.component <> b.component and (b.component = b._main or a.{node} < b.{node})", strict)
         else:
-            own = hot.where("component = _main").withColumn("_k", F.row_number().over(across.orderBy(F.xxhash64(bucket, node), node)))
-            both = pairs(outside, own.where(F.col("_k") <= PIVOTS).drop("_k"), "true", may_link)
+            side = (F.col("component") == F.col("_main")).alias("_side")
+            order = W.partitionBy(bucket, side).orderBy(F.xxhash64(F.lit(turn), bucket, node), node)
+            some = hot.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= PIVOTS << turn).drop("_k")
+            both = pairs(outside, some, "a.component <> b.component", may_link)
         tried.append(materialize(both.distinct().join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "pairs"))
         more = materialize(verify(tried[-1]), "links")
         if not more.isEmpty():
