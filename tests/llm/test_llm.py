@@ -332,6 +332,22 @@ def test_neighbours_reach_their_recall_when_few_are_reranked(spark, monkeypatch)
     assert additive_index.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_codebooks_are_fitted_on_an_executor(spark, monkeypatch):
+    from pyspark import TaskContext
+
+    fit, rng = additive_index.fit, np.random.default_rng(4)
+
+    def fit_in_a_task(x):
+        assert TaskContext.get() is not None and len(x) == 50
+        return fit(x)
+
+    monkeypatch.setattr(additive_index, "fit", fit_in_a_task)
+    monkeypatch.setattr(additive_index, "SAMPLE", 50)
+    for ids in (range(400), [20] * 400):  # repeated ids share a hash
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, rng.normal(size=(400, 8)))], "vec_id long, embedding array<float>").repartition(7)
+        assert additive_index.nearest(df, df.where("vec_id % 20 = 0"), k=3).count() == (60 if len(set(ids)) > 1 else 0)
+
+
 def test_html_keeps_the_article():
     page = "<html><nav><ul><li><a href=x>Home</a></ul></nav><div class='cookie-notice'>We use cookies, ok.</div><article><h1>T &amp; U</h1><p>One  two, three.<p>Four\nfive, six.</article><div id=comments><p>Nice, very nice.</div><script>var a='</p>';</script><footer>c</footer></html>"
     assert html_extract.extract(page) == "T & U\nOne two, three.\nFour five, six."
