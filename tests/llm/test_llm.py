@@ -176,6 +176,21 @@ def test_line_groups_find_nine_of_ten_edit_similar_pairs(spark):
     assert len(hits) >= 20 and np.mean(hits) >= 0.9
 
 
+def test_lines_link_by_blocks_of_the_simhash(spark):
+    """A line of short runs only, told apart by stops: no run of 14 characters is shared, the SimHashes are equal."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("bdfhjl"), 5)) + "ac"[k % 2] for k in range(30)]  # every word ends in an odd character: no cuts
+    a, b = " ".join(words), ", ".join(words)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, "something else that stands alone here")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in line_dedup.normalised_lines(docs).collect()}
+    assert rows[1]["h1"] != rows[2]["h1"] and not set(rows[1]["runs"]) & set(rows[2]["runs"]) and rows[1]["sketch"] == rows[2]["sketch"]
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_report(docs).collect()} == {1: 0, 2: 1, 3: 0}
+    sketch = [int(x) for x in rng.integers(0, 1 << 62, 50)]
+    far = [x ^ (1 << int(i)) ^ (1 << int(j)) for x, (i, j) in zip(sketch, (rng.choice(62, 2, replace=False) for _ in sketch))]
+    pairs = spark.createDataFrame(list(zip(sketch, far)), "x long, y long").select(line_dedup.sketch_blocks("x").alias("x"), line_dedup.sketch_blocks("y").alias("y"))
+    assert pairs.where(F.arrays_overlap("x", "y")).count() == 50
+
+
 def test_lines_of_one_doc_id_stay_apart(spark):
     a, b = "zeta eta theta iota kappa lambda is a line that stands in two texts", "a solitary sentence that was never repeated by any other text here"
     docs = spark.createDataFrame([(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 2), (6, "", 3), (None, a, 4)], "doc_id long, text string, doc int")
