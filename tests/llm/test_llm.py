@@ -191,6 +191,17 @@ def test_lines_link_by_blocks_of_the_simhash(spark):
     assert pairs.where(F.arrays_overlap("x", "y")).count() == 50
 
 
+def test_lines_link_by_any_of_their_runs(spark):
+    """Lines of nine runs, of which any single one is in both: each run is a block, not some of them only."""
+    rng = np.random.default_rng(6)
+    run = lambda: " ".join("1" + "".join(rng.choice(list("bcdfghjkl"), 6)) + "a2"[k == 2] for k in range(3))  # cut after the 2, before the 1
+    shared = [run() for _ in range(9)]
+    lines = [" ".join(shared)] + [" ".join(s if i == k else run() for i, s in enumerate(shared)) for k in range(9)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows = {r["doc_id"]: set(r["runs"]) for r in line_dedup.normalised_lines(docs).collect()}
+    assert len(rows[0]) == 9 and all(len(rows[0] & rows[k]) == 1 for k in range(1, 10))
+
+
 def test_lines_of_one_doc_id_stay_apart(spark):
     a, b = "zeta eta theta iota kappa lambda is a line that stands in two texts", "a solitary sentence that was never repeated by any other text here"
     docs = spark.createDataFrame([(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 2), (6, "", 3), (None, a, 4)], "doc_id long, text string, doc int")
