@@ -71,6 +71,39 @@ def tokens_of(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.unique(classes[cell].astype(np.uint64) << np.uint64(56) | hashes & np.uint64((1 << 56) - 1))
 
 
+def node_of(tokens: np.ndarray) -> int:
+    """A 64-bit fingerprint of a set; 0 for the empty one."""
+    n = len(tokens)
+    with np.errstate(over="ignore"):
+        return int((np.bitwise_xor.reduce(tokens * np.uint64(0x9E3779B97F4A7C15) ^ tokens >> np.uint64(29)) + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)) if n else 0
+
+
+#: The fewest bits of a parity sketch; a set has two bits for three tokens at least, rounded up to a power of two.
+PARITY_BITS = 1024
+
+
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's tokens falls on each bit, as longs: the sketches of two sets differ in no more bits than the sets in tokens. Folded in halves by xor, it is the one of half the bits."""
+    bits = max(PARITY_BITS, 1 << (len(tokens) * 2 // 3).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketches_differ(x: str, y: str) -> str:
+    """SQL: in how many bits two sketches differ; one of twice the other's bits is folded, one of more is not compared (0)."""
+
+    def fold(c: str) -> str:
+        return f"zip_with(slice({c}, 1, size({c}) div 2), slice({c}, size({c}) div 2 + 1, size({c}) div 2), (p, q) -> p ^ q)"
+
+    def differ(a: str, b: str) -> str:
+        return f"aggregate(zip_with({a}, {b}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+
+    return (
+        f"case when size({x}) = size({y}) then {differ(x, y)} when size({x}) = 2 * size({y}) then {differ(fold(x), y)}"
+        f" when 2 * size({x}) = size({y}) then {differ(x, fold(y))} else 0 end"
+    )
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Sets of n that reach the threshold together share one of so many first tokens."""
     return n - -(-n * percent // 100) + 1
@@ -104,20 +137,21 @@ def _filter_of(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, classes, width: int, some) -> DataFrame:
-    """(doc_id, tokens) of rows (doc_id, text, place) whose place is in the filter."""
+    """(node, tokens) of rows (doc_id, text) whose doc_id is in the filter, each node once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.column(2).to_numpy()
+            place = batch.column(1).to_numpy()
             batch = batch.filter(pa.array(some.value[place] > 0))
-            sets = [tokens_of(h, classes.value).view(np.int64) for h in _shingles(batch.column(1), width)]
+            sets = [tokens_of(h, classes.value) for h in _shingles(batch.column(0), width)]
             offsets = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(s) for s in sets], out=offsets[1:])
-            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "tokens"])
+            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            nodes = pa.array([node_of(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["node", "tokens"])
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    return docs.select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, tokens array<long>")
+    return docs.where("doc_id is not null").select("text", place.alias("place")).mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
 
 
 def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -135,12 +169,12 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple[np.ndarray, int, int]] = []
+            sketches: list[np.ndarray] = []
             for h in _shingles(batch.column(1), width):
                 t = tokens_of(h, classes.value)
                 n = len(t)
-                with np.errstate(over="ignore"):
-                    node = int((np.bitwise_xor.reduce(t * np.uint64(0x9E3779B97F4A7C15) ^ t >> np.uint64(29)) + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)) if n else 0
-                parts.append((t[: prefix_length(n, percent)].view(np.int64) if n else np.zeros(0, np.int64), n, node))
+                parts.append((t[: prefix_length(n, percent)].view(np.int64) if n else np.zeros(0, np.int64), n, node_of(t)))
+                sketches.append(parity_sketch(t))
             sizes = [len(p) for p, _, _ in parts]
             ids = batch.column(0)
             # a document's own row has no token, and is followed by those of its prefix
@@ -149,16 +183,21 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
             every = np.r_[np.arange(len(parts)), rows].astype(np.int64)
             n, node = (np.array([p[k] for p in parts], np.int64)[every] for k in (1, 2))
             tokens = pa.concat_arrays([pa.nulls(len(parts), pa.int64()), pa.array(np.concatenate([p for p, _, _ in parts]) if parts else np.zeros(0, np.int64))])
+            longs = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
+            sketch = pa.ListArray.from_arrays(pa.array(longs), pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
             yield pa.RecordBatch.from_arrays(
-                [tokens, pa.array(node), pa.array(n.astype(np.int32)), pa.array(np.r_[np.full(len(parts), -1), pos].astype(np.int32)), ids.take(pa.array(every))],
-                ["token", "node", "n", "pos", "doc_id"],
+                [
+                    tokens, pa.array(node), pa.array(n.astype(np.int32)), pa.array(np.r_[np.full(len(parts), -1), pos].astype(np.int32)), ids.take(pa.array(every)),
+                    pa.concat_arrays([sketch, pa.nulls(len(rows), sketch.type)]),
+                ],
+                ["token", "node", "n", "pos", "doc_id", "sketch"],
             )
 
-    rows = materialize(source.mapInArrow(run, "token long, node long, n int, pos int, doc_id long"), "prefixes")
-    own = materialize(rows.where("token is null").select("doc_id", "node", "n"), "documents")
+    rows = materialize(source.mapInArrow(run, "token long, node long, n int, pos int, doc_id long, sketch array<long>"), "prefixes")
+    own = materialize(rows.where("token is null").select("doc_id", "node", "n", "sketch"), "documents")
     same = W.partitionBy("token").orderBy("node")
     members = rows.where("token is not null").select("token", "node", "n", "pos").withColumn("_last", F.lag("node").over(same)).where("_last is null or _last <> node")
-    reps = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = own.where("n > 0 and doc_id is not null").select("node", F.struct("doc_id", "n", "sketch").alias("rep")).groupBy("node").agg(F.min("rep").alias("rep")).select("node", "rep.*")
 
     def may_link(a, b):
         shared = F.least(a("pos"), b("pos")) + 1 + F.least(a("n") - a("pos"), b("n") - b("pos")) - 1
@@ -173,8 +212,6 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
             (100 + percent) * F.least(a("n") - a("pos"), b("n") - b("pos")) >= percent * (a("n") + b("n"))
         )
 
-    have: list[DataFrame] = []
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = []
@@ -189,24 +226,26 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
+    def nodes_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        for s in have:
-            wanted = wanted.join(s.select("node"), "node", "left_anti")
-        wanted = materialize(wanted.join(reps, "node"), "wanted")
-        if not have or not wanted.isEmpty():
-            some = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-            have.append(materialize(_sets(source, classes, width, some).join(wanted, "doc_id").select("node", "tokens"), "sets"))
-        sets = have[0]
-        for s in have[1:]:
-            sets = sets.union(s)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+        """By parity sketches first: whole sets are only made, and sent, of the pairs that they leave. None of those is kept for a later call, which would send them all again."""
+        faces = materialize(nodes_of(pairs).join(reps, "node"), "wanted")
+        x, y = (faces.select(F.col("node").alias(c), F.struct("n", "sketch").alias(s)) for c, s in ("ax", "by"))
+        near = pairs.join(x, "a").join(y, "b").withColumn("total", F.col("x.n") + F.col("y.n"))
+        most = f"total - 2 * (({percent} * total + {99 + percent}) div {100 + percent})"
+        near = materialize(near.where(f"{sketches_differ('x.sketch', 'y.sketch')} <= {most}").select("a", "b"), "near")
+        wanted = materialize(nodes_of(near).join(faces.select("node", "doc_id"), "node"), "wanted")
+        drop(faces)
+        some = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+        drop(wanted)
+        sets = _sets(source, classes, width, some)
+        both = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
     found = linked_groups(members, "token", "node", verify, may_link, ["n", "pos"], release=rows, first_shared=first_shared)
-    for s in have:
-        drop(s)
-    labelled = own.join(found, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
+    labelled = own.select("doc_id", "node", "n").join(found, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     labelled = materialize(labelled, "labelled")
     # written, so that the join has an exchange on both sides, and a component with many rows can be split
     lowest = materialize(labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("low")), "lowest")

@@ -78,6 +78,32 @@ def test_ngram_groups_match_brute_force(docs):
     assert out == {d: (len(s), group[d]) for d, s in sets.items()}
 
 
+def test_sets_are_made_of_pairs_near_by_sketch_only(spark, monkeypatch):
+    """Texts that share a rare shingle are candidates; whole sets of those far apart are not made, and those of links are."""
+    made = []
+    sets = ngram_join._sets
+    monkeypatch.setattr(ngram_join, "_sets", lambda docs, classes, width, some: made.append(int(some.value.sum())) or sets(docs, classes, width, some))
+    # the same sizes, a third in common and rarer than the rest: the prefixes meet, the sets don't
+    far = [(k, " ".join([f"rare{k // 2}x{i}" for i in range(30)] + [f"often{k % 2}x{i}" for i in range(60)])) for k in range(6)]
+    near = [(10 + k, " ".join(f"near{i}" for i in range(90)) + f" end{k}") for k in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_groups(spark.createDataFrame(far + near, "doc_id long, text string")).collect()}
+    assert got == {k: k for k in range(6)} | {10: 10, 11: 10}
+    assert made and max(made) <= 2
+
+
+def test_parity_sketches_bound_the_difference_of_sets(spark):
+    rng = np.random.default_rng(5)
+    rows, wants = [], []
+    for n, extra in [(1, 0), (3, 2), (800, 90), (1500, 200), (1600, 500), (5000, 700), (6000, 900)]:
+        both = rng.integers(0, 1 << 63, n + extra, dtype=np.uint64)
+        x, y = np.unique(both[:n]), np.unique(both[extra // 2 :])
+        rows.append(tuple(ngram_join.parity_sketch(s).tolist() for s in (x, y)))
+        wants.append(len(np.setxor1d(x, y)))
+    assert any(len(x) != len(y) for x, y in rows)
+    got = [r[0] for r in spark.createDataFrame(rows, "x array<long>, y array<long>").coalesce(1).selectExpr(ngram_join.sketches_differ("x", "y")).collect()]
+    assert all(0.5 * w <= g <= w and (w - g) % 2 == 0 for g, w in zip(got, wants))
+
+
 def test_near_duplicates_keep_rows_without_a_key(docs, spark):
     more = docs.union(spark.createDataFrame([(None, "one clean text without a key", "en", 8), (None, "", "en", 9), (2, "another text that shares its doc_id with a copy", "en", 10), (9, docs.first()["text"], "en", 11)], DOCS))
     kept = sorted(((r["doc_id"], r["shard"]) for r in ngram_join.one_of_each_group(more).collect()), key=str)
