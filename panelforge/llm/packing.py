@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ from panelforge.llm.shared import materialize
 WINDOW = 1024
 #: Tokens of an index shard, which one task holds: 4 bytes each, and about as much again for its postings.
 SHARD_TOKENS = 500_000
-#: Texts that are tokenised at a time.
-TEXTS = 500
+#: Bytes of text that are tokenised at a time.
+TEXT_BYTES = 12_000_000
 #: Neighbours that are sorted at a time.
 SORTED = 64
 #: A term that one in so many documents has gets a weight for each document instead of postings.
@@ -50,7 +51,36 @@ def encoder(tokenizer_json: str, ranks_file: str | None = None):
             return np.array(slow.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 
-    return lambda texts: [one(t) for t in texts]
+    spaced = np.zeros(1 << 16, bool)
+    spaced[[i for b, i in ranks.items() if b[:1] == b" "]] = True
+
+    def many(texts: list[str]) -> list[bytes]:
+        """one() of each. The pattern always cuts between a character and a space before another one, so a word with the space before it has the same ids everywhere, and is encoded once."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        ends = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        trimmed = pc.utf8_trim_whitespace(words)
+        plain = pc.and_(pc.equal(trimmed, words), pc.not_equal(words, "")).to_numpy(zero_copy_only=False)
+        kept = words.filter(pa.array(plain))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(kept)], kept), " ")[0].as_py()
+        ids = fast.encode_to_numpy(" " + joined, disallowed_special=()).astype("<u2") if len(kept) else np.zeros(0, "<u2")
+        # of these ids, those that begin with a space begin a word
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[plain] = np.flatnonzero(spaced[ids])
+        size[plain] = np.diff(np.r_[first[plain], len(ids)])
+        sizes = size[codes]
+        sizes[ends[:-1]] = 0  # a text's first word has no space before it
+        after = np.cumsum(sizes)
+        ids = ids[np.arange(sizes.sum()) + np.repeat(first[codes] - (after - sizes), sizes)]
+        at = np.r_[0, after][ends].tolist()
+        odd = np.diff(np.r_[0, np.cumsum(~plain[codes])][ends]).tolist()
+        heads = [t.partition(" ")[0] for t in texts]
+        return [
+            one(t) if bad or any(s in t for s in special) else one(head) + ids[a:b].tobytes() for t, head, bad, a, b in zip(texts, heads, odd, at, at[1:])
+        ]
+
+    return many
 
 
 def routes(n: int = 2, seed: int = 7) -> np.ndarray:
@@ -71,8 +101,10 @@ def tokenised(docs: DataFrame, tokenizer_json: str, ranks_file: str | None = Non
         encode, weights = encoder(tokenizer_json, ranks_file), routes()
         part, row = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for first in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(first, TEXTS)
+            size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TEXT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), whole.num_rows]
+            for first, end in zip(cuts, cuts[1:]):
+                batch = whole.slice(first, end - first)
                 raw = [ids + b"\0\0" for ids in encode([t or "" for t in batch.column(1).to_pylist()])]
                 coded = [np.frombuffer(ids, "<u2") for ids in raw]
                 places = [(part << 33) + row + i for i in range(len(coded))]
@@ -93,10 +125,13 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     """In how many of all documents each of the 2^16 ids occurs, the documents, and their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1 << 16, np.int64)
+        df, seen = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
         for batch in batches:
             for ids in batch.column(0):
-                df[np.unique(np.frombuffer(ids.as_py(), "<u2"))] += 1
+                seen[np.frombuffer(ids.as_py(), "<u2")] = True
+                own = np.flatnonzero(seen)
+                df[own] += 1
+                seen[own] = False
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"id": pa.array(some, pa.int64()), "df": pa.array(df[some], pa.int64())})
 

@@ -310,6 +310,29 @@ def test_ranks_give_the_ids_of_the_tokenizer():
     assert [np.frombuffer(x, "<u2").tolist() for x in encode(texts)] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_word_is_encoded_once_and_has_the_ids_of_the_whole_text(monkeypatch):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    packing.encoder.cache_clear()
+    seen, plain = [], tiktoken.Encoding.encode_to_numpy
+    monkeypatch.setattr(tiktoken.Encoding, "encode_to_numpy", lambda self, text, **k: seen.append(len(text)) or plain(self, text, **k))
+    encode, slow = packing.encoder(model_path("byte_bpe_50k.json"), model_path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(model_path("byte_bpe_50k.json"))
+
+    def ids(texts):
+        return [np.frombuffer(x, "<u2").tolist() for x in encode(texts)]
+
+    text = "unthinkable wordsmithery " * 100 + "ends"
+    assert ids([text] * 50) == [slow.encode(text, add_special_tokens=False).ids] * 50
+    assert sum(seen) < 2 * len(text)
+    rng = np.random.default_rng(17)
+    parts = ["don't", "'s", "", "\n", "a\nb", "\tx", "é", "3.14", "a1b2", "日本", "\xa0", "\u3000z", "\x1c", "<|endoftext|>", "...", "thandingedor", "x" * 100, "\r\ny", "!?"]
+    for k in range(60):
+        texts = [rng.choice(["", " ", "w"]) + " ".join(rng.choice(parts if i % 2 else parts[6:10] + parts[14:17], 12)) + f" n{k} m{i}" for i in range(20)]
+        assert ids(texts) == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    packing.encoder.cache_clear()
+
+
 def test_packing_routes_copies_to_one_shard(spark, monkeypatch):
     from tokenizers import Tokenizer
 
