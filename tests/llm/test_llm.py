@@ -228,6 +228,24 @@ def test_lines_link_by_any_of_their_runs(spark):
     assert len(rows[0]) == 9 and all(len(rows[0] & rows[k]) == 1 for k in range(1, 10))
 
 
+def test_lines_that_no_pair_needs_are_not_sent(spark, monkeypatch):
+    """Of 204 lines, the four of two candidate pairs are looked up."""
+    sent, among = [], line_dedup.among
+
+    def spy(rows, key, wanted):
+        out = among(rows, key, wanted)
+        sent.append((key, rows.count(), out.count(), wanted.distinct().count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "among", spy)
+    alone = "\n".join("".join(chr(97 + (k * 7 + i * (k + 3)) % 26) for i in range(12)) + f" {k * 7919}" for k in range(200))
+    pairs = [" ".join(f"{w}{i * i}n{i}" for i in range(40)) + end for w in ("quick", "sturdy") for end in (" one", " two")]
+    rows = line_dedup.fuzzy_lines(spark.createDataFrame([(1, alone), *((2 + k, x) for k, x in enumerate(pairs))], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_doc"]) for r in rows if r["doc_id"] > 1} == {(2, 2), (3, 2), (4, 4), (5, 4)}
+    key, lines, left, wanted = sent[0]
+    assert (key, lines) == ("place", 204) and wanted <= left < 100
+
+
 def test_lines_of_one_doc_id_stay_apart(spark):
     a, b = "zeta eta theta iota kappa lambda is a line that stands in two texts", "a solitary sentence that was never repeated by any other text here"
     docs = spark.createDataFrame([(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 2), (6, "", 3), (None, a, 4)], "doc_id long, text string, doc int")
