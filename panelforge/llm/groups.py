@@ -28,6 +28,9 @@ def linked_groups(
     release: DataFrame | None = None,
     first_shared: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    look: Callable[[DataFrame], DataFrame] | None = None,
+    near: Callable[[str, str], str] | None = None,
+    slices: int = 1,
 ) -> DataFrame:
     """(node, component) of the graph of all verified pairs that share a bucket.
 
@@ -36,7 +39,15 @@ def linked_groups(
     necessary condition on two rows of a bucket. first_shared is a stricter one that
     every linking pair meets in one bucket at least; without it, may_link is taken.
     prepare gets the nodes that share a bucket with others, and returns them with
-    columns that may_link may take besides.
+    columns that may_link may take besides. look and near go together: look gets
+    nodes and returns them with more columns, near is the SQL of a condition on two
+    aliases with those columns that every linking pair meets. In large buckets, what
+    is left after the first pivots is held against it within the join, so that rows
+    come out for pairs near each other only, and not for all of a group whose
+    members share a passage and don't link; look is asked for the members that
+    may_link leaves anything for. slices: in how many parts, by bucket, the members
+    are brought together, one part after the other, so that one part's shuffle files
+    are there at a time.
 
     The result is that of verifying every pair of every bucket, with fewer pairs:
     a small bucket gives all of them. In a large one each member is first held
@@ -48,32 +59,53 @@ def linked_groups(
     that then goes. Tables in between go as soon as the next one is written.
     """
     across = W.partitionBy(bucket)
-    ranked = members.select(
-        bucket, node, *carry,
-        F.row_number().over(across.orderBy(F.xxhash64(node), node)).alias("_r"),
-        F.count("*").over(across).cast("long").alias("_m"),
-    ).where("_m > 1")
-    ranked = materialize(ranked, "buckets")
+    spark = members.sparkSession
+    parts = []
+    for k in range(slices):
+        part = members if slices == 1 else members.where(F.pmod(F.xxhash64(bucket), F.lit(slices)) == k)
+        ranked = part.select(
+            bucket, node, *carry,
+            F.row_number().over(across.orderBy(F.xxhash64(node), node)).alias("_r"),
+            F.count("*").over(across).cast("long").alias("_m"),
+        ).where("_m > 1")
+        parts.append(materialize(ranked, "buckets"))
+        free_shuffles(spark)
+    ranked = reduce(DataFrame.union, parts)
     if release is not None:
         drop(release)
-    free_shuffles(ranked.sparkSession)
 
     if prepare is not None:
         plain = ranked
         ranked = materialize(ranked.join(prepare(ranked.select(node).distinct()), node), "buckets")
         drop(plain)
 
-    def pairs(left: DataFrame, right: DataFrame, condition: str, link: Callable) -> DataFrame:
-        a, b = left.alias("a"), right.alias("b")
-        both = a.join(b, F.col(f"a.{bucket}") == F.col(f"b.{bucket}"), "inner").where(condition)
-        both = both.where(link(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")))
+    def within(condition: str, link: Callable) -> Column:
+        return F.expr(condition) & link(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+
+    def pairs(left: DataFrame, right: DataFrame, held: Column) -> DataFrame:
+        both = left.alias("a").join(right.alias("b"), F.col(f"a.{bucket}") == F.col(f"b.{bucket}"), "inner").where(held)
         return both.select(F.least(f"a.{node}", f"b.{node}").alias("a"), F.greatest(f"a.{node}", f"b.{node}").alias("b"))
 
+    passing: list[DataFrame] = []
+
+    def near_pairs(left: DataFrame, right: DataFrame, condition: str, link: Callable) -> DataFrame:
+        """pairs() that near leaves. Semi joins tell first which rows have any; they give no row twice."""
+        if look is None:
+            return pairs(left, right, within(condition, link)).distinct()
+        on = (F.col(f"a.{bucket}") == F.col(f"b.{bucket}")) & within(condition, link)
+        own = materialize(left.alias("a").join(right.alias("b"), on, "left_semi"), "own")
+        others = materialize(right.alias("b").join(own.alias("a"), on, "left_semi"), "others")
+        nodes = materialize(own.select(node).union(others.select(node)).distinct(), "nodes")
+        faces = materialize(look(nodes), "faces")
+        passing.extend([own, others, nodes, faces])
+        # near costs the most, and is looked at last
+        return pairs(own.join(faces, node), others.join(faces, node), F.when(within(condition, link), F.expr(near("a", "b"))).otherwise(False)).distinct()
+
     strict = first_shared or may_link
     few, many = ranked.where(F.col("_m") <= small), ranked.where(F.col("_m") > small)
     pivots = many.where(F.col("_r") <= PIVOTS)
     # the pivots take the looser condition: each pair that they link spares many of the later passes
-    tried = [materialize(pairs(few, few, "a._r < b._r", strict).union(pairs(pivots, many, f"a.{node} <> b.{node}", may_link)).distinct(), "pairs")]
+    tried = [materialize(pairs(few, few, within("a._r < b._r", strict)).union(pairs(pivots, many, within(f"a.{node} <> b.{node}", may_link))).distinct(), "pairs")]
     free_shuffles(ranked.sparkSession)
     edges = materialize(verify(tried[0]), "links")
     found = components(edges)
@@ -93,13 +125,15 @@ def linked_groups(
         last = turn == TURNS
         outside = hot.where("component <> _main")
         if last:
-            both = pairs(outside, hot, f"a.component <> b.component and (b.component = b._main or a.{node} < b.{node})", strict)
+            both = near_pairs(outside, hot, f"a.component <> b.component and (b.component = b._main or a.{node} < b.{node})", strict)
         else:
             side = (F.col("component") == F.col("_main")).alias("_side")
             order = W.partitionBy(bucket, side).orderBy(F.xxhash64(F.lit(turn), bucket, node), node)
             some = hot.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= PIVOTS << turn).drop("_k")
-            both = pairs(outside, some, "a.component <> b.component", may_link)
-        tried.append(materialize(both.distinct().join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "pairs"))
+            both = near_pairs(outside, some, "a.component <> b.component", may_link)
+        tried.append(materialize(both.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti"), "pairs"))
+        while passing:
+            drop(passing.pop())
         more = materialize(verify(tried[-1]), "links")
         if not more.isEmpty():
             edges = edges.union(more)

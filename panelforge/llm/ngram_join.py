@@ -226,6 +226,10 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
+    def sketches_near(x: str, y: str) -> str:
+        total = f"({x}.n + {y}.n)"
+        return f"{sketches_differ(f'{x}.sketch', f'{y}.sketch')} <= {total} - 2 * (({percent} * {total} + {99 + percent}) div {100 + percent})"
+
     def nodes_of(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
@@ -233,9 +237,7 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         """By parity sketches first: whole sets are only made, and sent, of the pairs that they leave. None of those is kept for a later call, which would send them all again."""
         faces = materialize(nodes_of(pairs).join(reps, "node"), "wanted")
         x, y = (faces.select(F.col("node").alias(c), F.struct("n", "sketch").alias(s)) for c, s in ("ax", "by"))
-        near = pairs.join(x, "a").join(y, "b").withColumn("total", F.col("x.n") + F.col("y.n"))
-        most = f"total - 2 * (({percent} * total + {99 + percent}) div {100 + percent})"
-        near = materialize(near.where(f"{sketches_differ('x.sketch', 'y.sketch')} <= {most}").select("a", "b"), "near")
+        near = materialize(pairs.join(x, "a").join(y, "b").where(sketches_near("x", "y")).select("a", "b"), "near")
         wanted = materialize(nodes_of(near).join(faces.select("node", "doc_id"), "node"), "wanted")
         drop(faces)
         some = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
@@ -244,7 +246,7 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
         both = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-    found = linked_groups(members, "token", "node", verify, may_link, ["n", "pos"], release=rows, first_shared=first_shared)
+    found = linked_groups(members, "token", "node", verify, may_link, ["n", "pos"], release=rows, first_shared=first_shared, look=lambda nodes: reps.select("node", "sketch").join(nodes, "node"), near=sketches_near)
     labelled = own.select("doc_id", "node", "n").join(found, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     labelled = materialize(labelled, "labelled")
     # written, so that the join has an exchange on both sides, and a component with many rows can be split

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelforge.llm import additive_index, html_extract, license_scan, line_dedup, ngram_join, packing, quality, sentencepiece_dropout, sharding, toxicity
+from panelforge.llm import additive_index, groups, html_extract, license_scan, line_dedup, ngram_join, packing, quality, sentencepiece_dropout, sharding, toxicity
 from panelforge.llm.queries import model_path
 
 DOCS = "doc_id long, text string, lang string, shard int"
@@ -246,6 +246,18 @@ def test_lines_that_no_pair_needs_are_not_sent(spark, monkeypatch):
     assert (key, lines) == ("place", 204) and wanted <= left < 100
 
 
+def test_sets_that_share_a_passage_only_are_told_apart_in_the_join(spark, monkeypatch):
+    """Texts of one size whose rarest shingles are the same: what the sketches tell apart never leaves the join, links stay."""
+    passage, often = " ".join(f"rare{i}" for i in range(36)), [" ".join(f"often{k}x{i}" for i in range(60)) for k in range(24)]
+    rows = [(k, f"{passage} {often[k]}") for k in range(24)] + [(100 + 50 * k + j, f"{often[k]} tail{k}x{j} " + " ".join(f"pad{k}x{j}x{i}" for i in range(60))) for k in range(24) for j in range(40)]
+    rows.append((9999, rows[3][1] + " end"))
+    sizes, materialize = [], groups.materialize
+    monkeypatch.setattr(groups, "materialize", lambda df, label: (out := materialize(df, label), label == "pairs" and sizes.append(out.count()))[0])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9999] == 3 and all(got[d] == d for d, _ in rows[:-1])
+    assert len(sizes) == 3 and sum(sizes[1:]) < 24
+
+
 def test_lines_of_one_doc_id_stay_apart(spark):
     a, b = "zeta eta theta iota kappa lambda is a line that stands in two texts", "a solitary sentence that was never repeated by any other text here"
     docs = spark.createDataFrame([(1, a, 0), (5, a, 1), (5, b, 2), (5, b, 2), (6, "", 3), (None, a, 4)], "doc_id long, text string, doc int")
