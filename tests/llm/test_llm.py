@@ -246,6 +246,20 @@ def test_lines_that_no_pair_needs_are_not_sent(spark, monkeypatch):
     assert (key, lines) == ("place", 204) and wanted <= left < 100
 
 
+def test_lines_that_share_a_passage_only_are_told_apart_in_the_join(spark, monkeypatch):
+    """Of 60 lines with a passage in common few pairs are looked at whole, and those that are alike are found."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 6))
+    passage = [word() for _ in range(40)]
+    lines = [" ".join(passage + [word() for _ in range(16)]) for _ in range(60)]
+    lines += [lines[k].replace(passage[3], word()) for k in (5, 9)]
+    looked, alike = [], line_dedup.edit_alike
+    monkeypatch.setattr(line_dedup, "edit_alike", lambda pairs, *a: looked.append(pairs.count()) or alike(pairs, *a))
+    rows = line_dedup.fuzzy_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_doc"]) for r in rows} == {(5, 5), (60, 5), (9, 9), (61, 9)}
+    assert sum(looked) < 400
+
+
 def test_sets_that_share_a_passage_only_are_told_apart_in_the_join(spark, monkeypatch):
     """Texts of one size whose rarest shingles are the same: what the sketches tell apart never leaves the join, links stay."""
     passage, often = " ".join(f"rare{i}" for i in range(36)), [" ".join(f"often{k}x{i}" for i in range(60)) for k in range(24)]
