@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -142,6 +144,16 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     return out, docs, total
 
 
+def give_back() -> None:
+    """A worker waits for a minute after its last task, beside the JVM's next stage: the tokenisers and freed memory go."""
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 class Shard:
     """An inverted index of some documents, with BM25 weights by the counts of the whole corpus."""
 
@@ -253,5 +265,7 @@ def pack(docs: DataFrame, tokenizer_json: str, ranks_file: str | None = None, te
         names = [f.split()[0] for f in PIECES.split(", ")]
         for first in range(0, len(pieces), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int64()) for v in zip(*pieces[first : first + 10_000])], names)
+        del rows, own, doc_ids, pieces
+        give_back()
 
     return tokens.select("route", "then", "place", "doc_id", "ids").repartitionByRange(shards, "route", "then", "place").mapInArrow(run, PIECES)

@@ -344,6 +344,12 @@ def test_packing_covers_each_id_once(docs):
         assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:])) and own[-1][0] + own[-1][1] == own[0][2]
 
 
+def test_tokenisers_are_given_back():
+    assert packing.encoder(model_path("byte_bpe_50k.json"), model_path("byte_bpe_50k.tiktoken"))(["a b"]) and packing.encoder.cache_info().currsize
+    packing.give_back()
+    assert not packing.encoder.cache_info().currsize
+
+
 def test_ranks_give_the_ids_of_the_tokenizer():
     from tokenizers import Tokenizer
 
