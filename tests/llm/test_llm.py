@@ -260,6 +260,18 @@ def test_lines_that_share_a_passage_only_are_told_apart_in_the_join(spark, monke
     assert sum(looked) < 400
 
 
+def test_lines_far_from_all_others_leave_their_buckets_first(spark, monkeypatch):
+    """40 lines share a run and nothing else: of them, only those that may link with another are grouped, and near copies are found."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 6))
+    lines = [" ".join(["1shared words of a run2"] + ["1" + word() for _ in range(20)]) for _ in range(40)]
+    lines.append(lines[7] + " " + word())
+    rows, linked = [], line_dedup.linked_groups
+    monkeypatch.setattr(line_dedup, "linked_groups", lambda members, *a, **k: (rows.append(members.select("h1").distinct().count()), linked(members, *a, **k))[1])
+    found = line_dedup.fuzzy_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["first_doc"]) for r in found} == {(7, 7), (40, 7)} and 2 <= rows[0] < 20
+
+
 def test_sets_that_share_a_passage_only_are_told_apart_in_the_join(spark, monkeypatch):
     """Texts of one size whose rarest shingles are the same: what the sketches tell apart never leaves the join, links stay."""
     passage, often = " ".join(f"rare{i}" for i in range(36)), [" ".join(f"often{k}x{i}" for i in range(60)) for k in range(24)]
