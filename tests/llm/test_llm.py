@@ -272,6 +272,18 @@ def test_lines_far_from_all_others_leave_their_buckets_first(spark, monkeypatch)
     assert {(r["doc_id"], r["first_doc"]) for r in found} == {(7, 7), (40, 7)} and 2 <= rows[0] < 20
 
 
+def test_forms_of_lines_are_looked_up_once(spark, monkeypatch):
+    """Each look-up reads all texts and adds jobs that the driver holds."""
+    labels, materialize = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijkl"), 6))
+    passage = [word() for _ in range(40)]
+    lines = [" ".join(passage + [word() for _ in range(16)]) for _ in range(30)]
+    line_dedup.fuzzy_lines(spark.createDataFrame(list(enumerate(lines + [lines[3] + " x"])), "doc_id long, text string")).collect()
+    assert labels.count("forms") == 1 and "wanted" not in labels
+
+
 def test_sets_that_share_a_passage_only_are_told_apart_in_the_join(spark, monkeypatch):
     """Texts of one size whose rarest shingles are the same: what the sketches tell apart never leaves the join, links stay."""
     passage, often = " ".join(f"rare{i}" for i in range(36)), [" ".join(f"often{k}x{i}" for i in range(60)) for k in range(24)]
